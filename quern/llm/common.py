@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000, size: str = "4m"):
+    """Arrow batches of few rows while what stands below runs, since texts may be long; the session's own settings come back afterwards."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back: lineage ends here and lost executors cost only their tasks."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
@@ -55,3 +71,49 @@ def drop_saved(*frames: DataFrame | None) -> None:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once for each row, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+SPAN = "array<struct<start:int,end:int,text:string>>"
+
+
+def find_spans(text: Column, pattern: str, gate: Column | None = None, block: int = 256) -> Column:
+    """Leftmost non-overlapping matches of a Java pattern as an array of (start, end, text), in code points, end exclusive.
+
+    Matches and the pieces between them come from two scans that find the same matches; positions are their running
+    lengths, added up in blocks so that many matches in a text cost little more than one pass. ``gate`` is a cheap
+    test that holds for all texts with a match. ``pattern`` must not match the empty string.
+    """
+    def placed(parts: Column) -> Column:
+        lens = lambda: F.transform(parts["found"], lambda m, i: F.struct(F.length(F.get(parts["between"], i)).alias("gap"), F.length(m).alias("len"), m.alias("text")))
+        return let(F.struct(lens().alias("x"), F.sequence(F.lit(0), F.floor((F.size(parts["found"]) - 1) / block).cast("int")).alias("b")), from_lengths)
+
+    def from_lengths(s: Column) -> Column:
+        part = lambda b: F.slice(s["x"], b * block + 1, F.lit(block))
+        totals = F.transform(s["b"], lambda b: F.aggregate(part(b), F.lit(0), lambda a, x: a + x["gap"] + x["len"]))
+        return let(totals, lambda t: F.flatten(F.transform(s["b"], lambda b: F.aggregate(part(b), F.struct(F.aggregate(F.slice(t, F.lit(1), b), F.lit(0), lambda a, x: a + x).alias("pos"), F.array().cast(SPAN).alias("out")), step)["out"])))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["gap"]
+        return F.struct((start + x["len"]).alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["text"].alias("text")))).alias("out"))
+
+    hit = F.coalesce(text.rlike(pattern) if gate is None else gate & text.rlike(pattern), F.lit(False))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return F.when(hit, let(both, placed)).otherwise(F.array().cast(SPAN))
+
+
+def joined(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
