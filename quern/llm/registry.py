@@ -8,6 +8,7 @@ from .chat_format import op5_chat_format
 from .decontaminate import op10_decontaminate
 from .minhash_dedup import op3_minhash_dedup
 from .pii import op9_pii
+from .quality import op8_quality
 from .secret_scan import op4_secret_scan
 from .url_filter import op6_url_filter
 from .warc import op7_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }
