@@ -6,6 +6,7 @@ from . import chat_format, url_filter, warc
 from .bpe import op2_bpe
 from .chat_format import op5_chat_format
 from .decontaminate import op10_decontaminate
+from .embedding_dedup import op1_embedding_dedup
 from .minhash_dedup import op3_minhash_dedup
 from .pii import op9_pii
 from .quality import op8_quality
@@ -14,6 +15,7 @@ from .url_filter import op6_url_filter
 from .warc import op7_warc
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_secret_scan": op4_secret_scan,
