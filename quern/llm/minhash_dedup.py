@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +19,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 BANDS, ROWS = 25, 5
 #: Candidates whose estimated similarity lies further below the threshold than so many standard errors are not read again.
 SIGMAS = 5.0
-#: Members of a bucket compared with each other by one join; larger buckets go through blocks of that many rows.
-SMALL_BUCKET, BLOCK = 24, 512
+#: Buckets and families of more members are dealt into blocks, which are compared in pairs.
+BLOCK = 256
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -98,50 +97,110 @@ def _estimated(num: int, den: int):
     return run
 
 
-def _confirmed(k: int, num: int, den: int):
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that the pairs (a, b) connect it with."""
+    root = np.arange(n)
+    while len(a):
+        was = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = np.minimum(root, root[root])
+        if (root == was).all():
+            break
+    return root
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int, make) -> Iterator[tuple[tuple, list]]:
+    """Groups of rows that are equal in their first ``keys`` columns and stand together; ``make`` turns a batch into a list of rows' values."""
+    last, held = None, []
+    for batch in batches:
+        names = list(zip(*[batch.column(c).to_pylist() for c in range(keys)], strict=True))
+        for name, row in zip(names, make(batch), strict=True):
+            if name != last and held:
+                yield last, held
+                held = []
+            last = name
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _edges(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of edges from each group's (ids, roots)."""
+    a: list[int] = []
+    b: list[int] = []
+    for ids, root in found:
+        off = np.flatnonzero(root != np.arange(len(root)))
+        a += ids[off].tolist()
+        b += ids[root[off]].tolist()
+        if len(a) > 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _plausible_blocks(num: int, den: int):
+    """Rows key, i, j, rep, family, n, blk, regs: compares the members of a bucket's two blocks across families by their sketches."""
+
+    def make(batch: pa.RecordBatch) -> list:
+        return list(zip(*[batch.column(c).to_pylist() for c in range(3, 8)], strict=True))
+
+    def compare(name: tuple, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, family, n, blk = (np.array([r[c] for r in rows]) for c in range(4))
+        regs = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
+        out_a, out_b = [], []
+        for r in range(len(rows)):
+            w = r + 1 + np.flatnonzero((family[r + 1 :] != family[r]) & ((blk[r + 1 :] == blk[r]) == (name[1] == name[2])))
+            if len(w):
+                w = w[_plausible(np.broadcast_to(regs[r], (len(w), regs.shape[1])), regs[w], np.full(len(w), n[r]), n[w], num, den)]
+                out_a.append(np.full(len(w), r))
+                out_b.append(w)
+        empty = [np.empty(0, np.int64)]
+        return ids, _roots(len(rows), np.concatenate(out_a or empty), np.concatenate(out_b or empty))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both > 0 and den * both >= num * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        yield from _edges(compare(name, rows) for name, rows in _by_group(batches, 3, make) if len(rows) > 1)
 
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose full sets are similar enough: sketches first, then the texts. ``b`` may be a hub: it is joined while rows are short."""
-    side = lambda x: classes.select(F.col("rep").alias(f"rep_{x}"), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
-    wide = pairs.join(side("b"), F.col("b") == F.col("rep_b")).join(side("a"), F.col("a") == F.col("rep_a")).select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
-    near = save(wide.mapInArrow(_estimated(num, den), "a long, b long"), "near-estimated")
-    wanted = near.select("a").union(near.select("b")).distinct().select(F.col("a").alias("id"))
-    texts = save(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
-    text = lambda x: texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
-    full = near.join(text("b"), F.col("b") == F.col("id_b")).join(text("a"), F.col("a") == F.col("id_a")).select("a", "b", "text_a", "text_b")
-    sure = save(full.mapInArrow(_confirmed(k, num, den), "a long, b long"), "near-confirmed")
-    drop_saved(near, texts)
-    return sure
-
-
-def _compare_blocks(num: int, den: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        left, right = (rows[rows.blk == i], rows[rows.blk == j])
-        ka, kb = (np.frombuffer(b"".join(x.regs), dtype=np.uint16).reshape(len(x), -1) for x in (left, right))
+def _exact_blocks(k: int, num: int, den: int):
+    """Rows family, i, j, rep, blk, text: links the members of a family's two blocks by their full sets."""
+
+    def make(batch: pa.RecordBatch) -> list:
+        return list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(5), k), strict=True))
+
+    def compare(name: tuple, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, blk = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        sizes = np.array([len(r[2]) for r in rows])
+        place = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        mark = np.zeros(len(place) + 1, dtype=np.int32)
         out_a, out_b = [], []
-        ids_a, ids_b, ca, cb, na, nb = left.rep.to_numpy(), right.rep.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy(), left.n.to_numpy(), right.n.to_numpy()
-        for r in range(len(left)):
-            w = np.flatnonzero((cb != ca[r]) & ((ids_b > ids_a[r]) if i == j else True))
-            if len(w):
-                w = w[_plausible(np.broadcast_to(ka[r], (len(w), ka.shape[1])), kb[w], np.full(len(w), na[r]), nb[w], num, den)]
-                out_a += [ids_a[r]] * len(w)
-                out_b += ids_b[w].tolist()
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
+        for r in range(len(rows) - 1):
+            own = place[at[r] : at[r + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[place[at[r + 1] :]], at[r + 1 : -1] - at[r + 1])
+            mark[own] = 0
+            w = np.flatnonzero((den * both >= num * (sizes[r] + sizes[r + 1 :] - both)) & ((blk[r + 1 :] == blk[r]) == (name[1] == name[2])))
+            out_a.append(np.full(len(w), r))
+            out_b.append(r + 1 + w)
+        return ids, _roots(len(rows), np.concatenate(out_a), np.concatenate(out_b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _edges(compare(name, rows) for name, rows in _by_group(batches, 3, make) if len(rows) > 1)
 
     return run
 
 
+def _in_blocks(rows: DataFrame, group: str, id_col: str) -> DataFrame:
+    """Each row (with ``size``, of its group) once for each pair of blocks (i, j) that its block is in, the rows of a pair standing together. Groups up to BLOCK rows are one pair; no pair has more than about 2 * BLOCK rows."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("blk", F.pmod(F.xxhash64(id_col), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("blk", "with")).withColumn("j", F.greatest("blk", "with"))
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", id_col)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_shingles, component_id, kept.
 
@@ -152,10 +211,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     1. One pass over the texts makes each document's set digest and SetSketch registers.
     2. Documents with equal sets are one class, known by its smallest id (aggregate, combined map-side).
     3. Bands of register values key the classes. In each bucket all members are paired with one hub, the member
-       that shares buckets with most others, never with each other.
-    4. Pairs are estimated jointly by likelihood; those not far below the threshold are confirmed on full sets.
-    5. Buckets whose members are not yet in one component are compared throughout, in blocks, across components only.
-    6. Components over all confirmed links, joined back to the documents.
+       that shares buckets with most others; pairs whose joint likelihood estimate is not far below the threshold
+       are plausible, and components over these are families.
+    4. Buckets with members of several families are compared throughout, by sketches, across families only; each
+       block passes on what connects its members, never pairs. This completes the families.
+    5. Each family's members are compared on their full sets, in blocks, so that a text moves once for each pair of
+       blocks that it is in (once in all, for families up to BLOCK members). What these links connect is the result.
 
     Null or empty texts, and texts without words, have no shingles and link with nothing. A null id links with
     nothing and keeps its row (component_id null, kept true). Repeated rows stay repeated; of rows that repeat an
@@ -172,29 +233,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     members = save(bands.join(shared, "key"), "near-members")
     central = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     hubs = members.join(central, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
-    starred = members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = save(starred, "near-pairs")
-    texts = own.where("id is not null")
-    first = _verify(pairs, classes, texts, k, num, den)
-
-    found = connected_components(first)
-    placed = members.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = save(placed.join(split, "key"), "near-rest")
-    small = rest.where(F.col("size") <= SMALL_BUCKET)
-    other = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-    by_join = small.select("key", F.col("rep").alias("a"), "comp").join(other, "key").where("a < b and comp <> comp_b").select("a", "b")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = rest.where(F.col("size") > SMALL_BUCKET).join(classes.select("rep", "regs", "n"), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    dealt = large.select("key", "rep", "comp", "regs", "n", "blk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with")).withColumn("i", F.least("blk", "with")).withColumn("j", F.greatest("blk", "with"))
-    by_block = dealt.groupBy("key", "i", "j").applyInPandas(_compare_blocks(num, den), "a long, b long")
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = save(by_join.union(by_block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "near-more")
-    second = _verify(more, classes, texts, k, num, den)
-
-    comps = connected_components(first.union(second))
-    drop_saved(members, pairs, rest, more)
+    pairs = members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    side = lambda x: classes.select(F.col("rep").alias(f"rep_{x}"), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
+    wide = pairs.join(side("b"), F.col("b") == F.col("rep_b")).join(side("a"), F.col("a") == F.col("rep_a")).select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
+    starred = save(wide.mapInArrow(_estimated(num, den), "a long, b long"), "near-starred")
+
+    families = connected_components(starred)
+    placed = save(members.join(families, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("family")), "near-placed")
+    split = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("key")
+    rest = placed.join(split, "key").join(classes.select("rep", "regs", "n"), "rep")
+    blocks = _in_blocks(rest, "key", "rep").select("key", "i", "j", "rep", "family", "n", "blk", "regs")
+    more = save(blocks.mapInArrow(_plausible_blocks(num, den), "a long, b long"), "near-more")
+    families = save(connected_components(starred.union(more)).select(F.col("id").alias("rep"), F.col("component").alias("family")), "near-families")
+    drop_saved(members, placed, starred, more)
+
+    sizes = families.groupBy("family").agg(F.count("*").alias("size")).withColumnRenamed("family", "of")
+    sized = families.join(sizes, F.col("family") == F.col("of")).select("rep", "family", "size")
+    texts = own.join(sized, F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "family", "size", "text")
+    full = _in_blocks(texts, "family", "rep").select("family", "i", "j", "rep", "blk", "text")
+    links = save(full.mapInArrow(_exact_blocks(k, num, den), "a long, b long"), "near-links")
+    comps = connected_components(links)
     by_class = save(classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "near-components")
+    drop_saved(classes, families, links)
     mine = sig.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
     out = mine.join(by_class, "digest", "left").withColumn("component_id", F.coalesce("component_id", F.col(id_col)))
     return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)).alias("kept"))

@@ -77,3 +77,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, x) for x in range(201, 240)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, **{i: 200 for i in range(200, 240)}}
+
+
+def test_blocks(spark, monkeypatch):
+    """Families over several blocks, with a hub that few are alike to."""
+    import quern.llm.minhash_dedup as md
+
+    monkeypatch.setattr(md, "BLOCK", 8)
+    rng = random.Random(6)
+    base, rows = [f"a{i}" for i in range(120)], []
+    for i in range(70):
+        text = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            text[rng.randrange(120)] = f"b{rng.randrange(9999)}"
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    assert got == brute(rows, 3, 85, 100)
