@@ -142,6 +142,9 @@ def _edges(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
 def _plausible_blocks(num: int, den: int):
     """Rows key, i, j, rep, family, n, blk, regs: compares the members of a bucket's two blocks across families by their sketches."""
 
+    #: So few equal registers are out of reach of the floor whatever the others say; it saves most estimates.
+    few = (_floor(num, den) - 0.15) * BANDS * ROWS
+
     def make(batch: pa.RecordBatch) -> list:
         return list(zip(*[batch.column(c).to_pylist() for c in range(3, 8)], strict=True))
 
@@ -151,6 +154,8 @@ def _plausible_blocks(num: int, den: int):
         out_a, out_b = [], []
         for r in range(len(rows)):
             w = r + 1 + np.flatnonzero((family[r + 1 :] != family[r]) & ((blk[r + 1 :] == blk[r]) == (name[1] == name[2])))
+            if len(w):
+                w = w[(regs[w] == regs[r]).sum(1) >= few]
             if len(w):
                 w = w[_plausible(np.broadcast_to(regs[r], (len(w), regs.shape[1])), regs[w], np.full(len(w), n[r]), n[w], num, den)]
                 out_a.append(np.full(len(w), r))
