@@ -117,3 +117,21 @@ def listed(spans: Column) -> Column:
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+#: Bits of the id filter below: its table has at most MARK_BITS / 32768 rows of 4 KB, 8 MB in all, whatever it is made from.
+MARK_BITS = 1 << 26
+
+
+def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose id may be in ``ids`` (one column of longs): all that are, and some that aren't.
+
+    A bitmap of hashed ids, built by aggregates that combine map-side and of fixed size, is broadcast, so that most
+    other rows go before an exchange of wide rows. It never takes the place of the join.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS)).cast("long")
+    marks = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = F.bitmap_bit_position(place(F.col(id_col)))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    return rows.withColumn("__own", F.bitmap_bucket_number(place(F.col(id_col)))).join(F.broadcast(marks), F.col("__own") == F.col("__bucket")).where(marked).select(*rows.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save, table
+from .common import drop_saved, probably_in, save, table
 from .components import connected_components
 from .textscan import shingle_sets
 
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     sizes = families.groupBy("family").agg(F.count("*").alias("size")).withColumnRenamed("family", "of")
     sized = families.join(sizes, F.col("family") == F.col("of")).select("rep", "family", "size")
-    texts = own.join(sized, F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "family", "size", "text")
+    texts = probably_in(own, "id", families.select("rep")).join(sized, F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "family", "size", "text")
     full = _in_blocks(texts, "family", "rep").select("family", "i", "j", "rep", "blk", "text")
     links = save(full.mapInArrow(_exact_blocks(k, num, den), "a long, b long"), "near-links")
     comps = connected_components(links)

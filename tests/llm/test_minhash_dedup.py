@@ -93,3 +93,12 @@ def test_blocks(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
     assert got == brute(rows, 3, 85, 100)
+
+
+def test_id_filter(spark):
+    from quern.llm.common import probably_in
+
+    ids = spark.range(0, 3000, 7).toDF("x")
+    rows = spark.createDataFrame([(i, "t") for i in range(-3000, 3000)] + [(None, "t")], "id long, text string")
+    got = [r.id for r in probably_in(rows, "id", ids).collect()]
+    assert set(range(0, 3000, 7)) <= set(got) and len(got) < 450
