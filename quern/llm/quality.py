@@ -201,13 +201,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return QualityModel(vectors, weight, *fit_network(x, np.array([r[1] for r in got], dtype=np.float64)))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with score: the calibrated probability of good quality, from the text alone.
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with score: the calibrated probability of good quality, from the text alone.
 
     Null and empty texts count as texts without words and get the score that the network gives these. Very long texts
     are read whole. Repeated rows and other columns stay (a column named score is replaced). No rows give no rows.
     """
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [c for c in keep or docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
@@ -223,5 +223,5 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(docs, model).drop("text")
+    scored = score_quality(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
