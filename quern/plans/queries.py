@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect, text
-from ..operators import feedback, reports, score, segment, select
+from ..operators import feedback, parsers, reports, score, segment, select
 from . import compress as plan
 
 TOK = r"'[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'"
@@ -327,7 +327,35 @@ def history_newest(spark, d):
     return reports.newest(_traces(spark, d).select("id", "created_at"), "created_at", "id", 500)
 
 
+def html_sections(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", F.col("html").alias("raw_output"))
+    return parsers.parse_chunks(pages, "html", "page_id").select("page_id", "ord", "chunk_type", "token_count", "content")
+
+
+def json_chunks(spark, d):
+    """Order lines as one JSON document for each order."""
+    item = F.to_json(F.struct("l_partkey", "l_quantity", F.struct("l_returnflag", "l_shipdate").alias("state")))
+    orders = _t(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("call_id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", item.alias("j")))).alias("x"))
+    docs = orders.select("call_id", F.concat(F.lit('{"lines": ['), F.array_join(F.transform("x", lambda y: y["j"]), ","), F.lit("]}")).alias("raw_output"))
+    return parsers.parse_chunks(docs, "json").select("call_id", "ord", "chunk_type", "token_count")
+
+
+def code_chunks(spark, d):
+    """Parts rendered as Python modules: functions that call each other, and the edges between them."""
+    fn = F.concat(F.lit("def f"), F.col("p_partkey").cast("string"), F.lit("(x):\n    return f"), (F.col("p_partkey") - 20).cast("string"), F.lit("(x) + "), F.col("p_size").cast("string"), F.lit("\n"))
+    mods = _t(spark, d, "part").groupBy((F.col("p_partkey") % 20).alias("call_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", fn.alias("s")))).alias("x"))
+    docs = mods.select("call_id", F.concat(F.lit("import os\n\n"), F.array_join(F.transform("x", lambda y: y["s"]), "\n")).alias("raw_output"))
+    chunks = parsers.parse_chunks(docs, "code")
+    edges = parsers.reference_edges(chunks, "call_id").groupBy("call_id").agg(F.count("*").alias("edges"))
+    return chunks.groupBy("call_id").agg(F.count_if(F.col("chunk_type") == "function").alias("functions"), F.count_if(F.col("chunk_type") == "import_block").alias("imports")).join(edges, "call_id", "left").select("call_id", "functions", "imports", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"))
+
+
+def mixed_segments(spark, d):
+    return parsers.parse_chunks(_docs(spark, d), "mixed").groupBy("call_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+
+
 QUERIES = {f.__name__: f for f in (
+    html_sections, json_chunks, code_chunks, mixed_segments,
     token_count, truncate, split_tokens, prefilter, detect_format, csv_windows, csv_categories, log_events, line_formats, markdown_sections, shell_commands, paragraphs, dedup_first, cap_chunks, split_oversized,
     lexical_score, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
@@ -401,6 +429,7 @@ SQL = {
     "history_newest": f"WITH {TRACES} SELECT id, created_at FROM tr ORDER BY created_at DESC, id DESC LIMIT 500",
 }
 
+SQL["code_chunks"] = "SELECT p_partkey % 20 AS call_id, count(*) AS functions, 1::BIGINT AS imports, (count(*) - 1)::BIGINT AS edges FROM part GROUP BY 1"
 SQL["compress_documents"] = f"""WITH RECURSIVE doc AS (SELECT doc_id AS call_id, text, regexp_extract_all(text, {SPACED}) AS t FROM documents),
 ch AS (SELECT call_id, i AS ord, call_id * 100000 + i AS k, array_to_string(t[i * 200 + 1 : i * 200 + 200], '') AS content, least(200, len(t) - i * 200)::BIGINT AS tok FROM doc, range(2000) r(i) WHERE len(t) >= 1000 AND i * 200 < len(t)),
 own AS ({_BAG.format(k="k", t="substr(content, 1, 400)", src="ch")}), task AS ({_BAG.format(k="item_id", t="text", src="(SELECT * FROM benchmark WHERE item_id = 0)")}),
