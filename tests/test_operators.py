@@ -182,9 +182,9 @@ def test_streams(spark, tmp_path):
     second = [("s", 2, 0, "a", 900), ("s", 2, 1, "c", 900)]
     for i, rows in enumerate((first, second)):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        for name, frame in (("chunks", sessions.drop_delivered), ("budgets", lambda s: sessions.adaptive_budgets(s.where("ord = 0"), 1000, 800))):
+        for name, frame in (("chunks", lambda s: sessions.drop_delivered(s, None)), ("budgets", lambda s: sessions.adaptive_budgets(s.where("ord = 0"), 1000, 800, None))):
             q = frame(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c-{name}").option("path", f"{tmp_path}/o-{name}").trigger(availableNow=True).start()
-            q.awaitTermination(120)
+            assert q.awaitTermination(60)
     got = {(r.session_id, r.seq, r.id) for r in spark.read.parquet(f"{tmp_path}/o-chunks").collect()}
     assert got == {("s", 1, "a"), ("s", 1, "b"), ("t", 1, "a"), ("s", 2, "c")}
     budgets = {(r.session_id, r.seq): r.effective_budget for r in spark.read.parquet(f"{tmp_path}/o-budgets").collect()}
