@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import save, table
+from .common import give_back, save, table
 
 #: Texts of more characters are halved until no part is longer.
 LEAF = 16_384
@@ -200,6 +200,7 @@ def _mapped(docs: DataFrame, text_col: str, path: str, leaf: int, added: str, ma
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             ids = bpe.encode(texts, leaf)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *make(ids, [bpe.decode(x) for x in ids])], [*keep, *new])
+        give_back()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep], added])
     return save(inner.mapInArrow(run, schema), "bpe")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def give_back() -> None:
+    """Return freed memory to the system when a Python task ends: workers live on, and what their allocators keep adds up over a job's stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 1000, size: str = "4m"):
     """Arrow batches of few rows while what stands below runs, since texts may be long; the session's own settings come back afterwards."""

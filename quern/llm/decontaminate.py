@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import give_back, save, table
 
 #: Edits allowed in a passage, as a share of the test item's length.
 ERROR_RATE = 0.06
@@ -154,6 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERRO
             for batch in batches:
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in find(normalise(t.as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], [id_col, "item_id", "distance", "end"])
+            give_back()
 
         found = save(own.mapInArrow(run, schema), "leaks")
         out = found if out is None else out.union(found)

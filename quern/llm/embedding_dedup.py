@@ -223,7 +223,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
     fine = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     own = own.withColumn("usable", F.col("id").isNotNull() & F.col("label").isNotNull() & fine & F.when(fine, (size > 0) & (size < float("inf"))).otherwise(False))
     classes = save(own.where("usable").groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vec-classes")
-    dims = [r["d"] for r in classes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").limit(MOST_CENTROIDS).collect()]
+    dims = [r["d"] for r in classes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
     parts = [_linked(classes.where(F.size("embedding") == d), d, threshold) for d in dims]
     links = edges = None
     for part in parts:

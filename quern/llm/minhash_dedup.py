@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, probably_in, save, table
+from .common import drop_saved, give_back, probably_in, save, table
 from .components import connected_components
 from .textscan import shingle_sets
 
@@ -78,6 +78,7 @@ def _sketch_batches(k: int):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"])
+        give_back()
 
     return run
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save, table
+from .common import drop_saved, give_back, save, table
 from .textscan import _BASE, _BASE_INV, blocks, mix, powers
 
 #: Word vectors: hashed vocabulary, dimensions, non-zero places of an index vector, neighbours on each side. Their size is WORDS * DIMS * 4 bytes, whatever the corpus.
@@ -75,6 +75,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     rows = np.concatenate([sums.reshape(WORDS, DIMS), counts[:, None]], axis=1)[seen]
     for i in range(0, len(seen), 1000):
         yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + 1000], pa.int64()), pa.array([r.astype(np.float32).tobytes() for r in rows[i : i + 1000]], pa.binary())], ["word", "sums"])
+    give_back()
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +216,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
         for batch in batches:
             p = shared.value.score(shared.value.features(batch.column("__text")).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p, pa.float64())], [*keep, "score"])
+        give_back()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep], "score double"])
     return save(inner.mapInArrow(run, schema), "quality-scores")
