@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect, text
@@ -72,8 +72,6 @@ ANY_TEXT = """x AS (SELECT 'doc' AS src, doc_id AS k, text AS t FROM documents U
 def _order_lines(spark: SparkSession, d: str) -> DataFrame:
     """Orders as one CSV call for each hundredth of the customers."""
     rows = _t(spark, d, "orders").select((F.col("o_custkey") % 100).alias("call_id"), "o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("line"))
-    from pyspark.sql import Window
-
     body = rows.withColumn("pos", F.row_number().over(Window.partitionBy("call_id").orderBy("o_orderkey"))).select("call_id", "pos", "line")
     return body.union(rows.select("call_id", F.lit(0).alias("pos"), F.lit("key,status,priority").alias("line")).distinct())
 
@@ -208,7 +206,7 @@ def greedy_extract(spark, d):
 
 
 def dep_closure(spark, d):
-    o = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("call_id"), (F.col("o_orderkey") % 40).alias("src"), ((F.col("o_orderkey") * 7 + 3) % 41).alias("dst")).where("src % 5 < 2").distinct()
+    o = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("call_id"), (F.col("o_orderkey") % 40).alias("src"), ((F.col("o_orderkey") * 7 + 3) % 41).alias("dst")).distinct()
     return select.closures(o, "call_id").groupBy("call_id", "src").agg(F.count("*").alias("n"), F.sum("dst").alias("total"))
 
 
@@ -243,7 +241,9 @@ def overview(spark, d):
 
 
 def trace_by_task(spark, d):
-    return _traces(spark, d).where("task_id = 5").select("id", "session_id", "tool_name")
+    """The traces of every task, numbered in order of time."""
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("created_at", "id")).cast("long")
+    return _traces(spark, d).select("task_id", place.alias("position"), "id", "session_id", "tool_name")
 
 
 def trace_diff(spark, d):
@@ -276,15 +276,17 @@ def acon_decay(spark, d):
 
 
 def guideline_upsert(spark, d):
+    """All traces: those of a store that ends at noon each day, and the later ones as updates."""
     tr = _traces(spark, d)
-    old, new = tr.where("id % 2 = 0"), tr.where("id % 3 = 0")
+    old, new = tr.where("hour(created_at) < 12"), tr.where("hour(created_at) >= 12")
     cols = ["session_id", "tool_name", "created_at", "id"]
     return feedback.upsert(old.select(cols), new.select(cols), ["session_id", "tool_name"], "created_at").select("session_id", "tool_name", "created_at")
 
 
 def trace_append(spark, d):
-    tr = _traces(spark, d).select("id", "session_id")
-    return feedback.append_new(tr.where("id % 4 = 0"), tr.where("id % 6 = 0"))
+    """All traces sent to a store that has those of low signal already."""
+    tr = _traces(spark, d).select("id", "session_id", "low_signal")
+    return feedback.append_new(tr.where("low_signal"), tr).select("id", "session_id")
 
 
 def adaptive_budget(spark, d):
@@ -400,22 +402,22 @@ SQL = {
     "signal_quality": "SELECT user_id, CASE WHEN count(*) < 4 THEN 'ok' WHEN min(value) = max(value) THEN 'none' WHEN stddev_pop(value) < 0.05 THEN 'low' ELSE 'ok' END AS signal, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1",
     "guideline_adjust": f"WITH {TRACES}, {OUTCOMES}, g AS (SELECT tool_name, chunk_type, round(least(power(1.2, floor(count(*) / 3)), 3.0), 6) AS m FROM pairs GROUP BY 1, 2) SELECT id, round(n_selected / 8.0 * coalesce(m, 1.0), 6) AS adjusted_score FROM tr LEFT JOIN g ON tr.tool_name = g.tool_name AND pruned_type = chunk_type",
     "greedy_extract": f"WITH RECURSIVE {CHUNKS}, o AS (SELECT doc_id, ord, tok, row_number() OVER (PARTITION BY doc_id ORDER BY ('0x' || substr(md5(content), 1, 6))::BIGINT DESC, ord) AS k FROM ch), g AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 420::BIGINT AS remaining, 0::BIGINT AS n, 0::BIGINT AS ords FROM o UNION ALL SELECT g.doc_id, o.k, remaining - CASE WHEN tok <= remaining THEN tok ELSE 0 END, n + (tok <= remaining)::INT, ords + CASE WHEN tok <= remaining THEN ord ELSE 0 END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1) SELECT doc_id, arg_max(remaining, k) AS remaining, arg_max(n, k) AS n, arg_max(ords, k) AS ords FROM g GROUP BY 1",
-    "dep_closure": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS call_id, o_orderkey % 40 AS src, (o_orderkey * 7 + 3) % 41 AS dst FROM orders WHERE o_orderkey % 40 % 5 < 2), p AS (SELECT * FROM e UNION SELECT p.call_id, p.src, e.dst FROM p JOIN e ON p.call_id = e.call_id AND p.dst = e.src) SELECT call_id, src, count(*) AS n, sum(dst)::BIGINT AS total FROM p WHERE src <> dst GROUP BY 1, 2",
+    "dep_closure": "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS call_id, o_orderkey % 40 AS src, (o_orderkey * 7 + 3) % 41 AS dst FROM orders), p AS (SELECT * FROM e UNION SELECT p.call_id, p.src, e.dst FROM p JOIN e ON p.call_id = e.call_id AND p.dst = e.src) SELECT call_id, src, count(*) AS n, sum(dst)::BIGINT AS total FROM p WHERE src <> dst GROUP BY 1, 2",
     "reconstruct": f"WITH {CHUNKS} SELECT doc_id, sha256(string_agg(content, chr(10) ORDER BY ord DESC)) AS h FROM ch GROUP BY 1",
     "result_cache_distinct": "SELECT min(doc_id) AS first_call, count(*) AS calls FROM documents GROUP BY text",
     "session_dedup": "SELECT source AS session_id, count(*) AS n, sum(seq)::BIGINT AS seqs FROM (SELECT source, line, min(doc_id) AS seq FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2) GROUP BY 1",
     "session_summaries": f"WITH {TRACES} SELECT session_id, count(DISTINCT task_id) AS tasks, count(*) AS calls, sum(original_token_count)::BIGINT AS original_tokens, sum(compressed_token_count)::BIGINT AS compressed_tokens, (sum(original_token_count) - sum(compressed_token_count))::BIGINT AS saved_tokens, {_RATIO} AS ratio, min(created_at) AS first_seen, max(created_at) AS last_seen FROM tr GROUP BY 1",
     "tool_report": f"WITH {TRACES}, {OUTCOMES}, f AS (SELECT tool_name, count(*) AS failures FROM (SELECT unnest(tool_names) AS tool_name FROM fl WHERE implicated) GROUP BY 1) SELECT tool_name, count(*) AS calls, sum(original_token_count)::BIGINT AS original_tokens, sum(compressed_token_count)::BIGINT AS compressed_tokens, {_RATIO} AS ratio, round(avg(n_selected), 9) AS avg_selected, round(avg(n_selected + n_pruned), 9) AS avg_total, coalesce(any_value(failures), 0)::BIGINT AS failures FROM tr LEFT JOIN f USING (tool_name) GROUP BY 1",
     "overview": f"WITH {TRACES}, {OUTCOMES}, g AS (SELECT floor(count(*) / 3) >= 1 AS up FROM pairs GROUP BY tool_name, chunk_type) SELECT *, (SELECT count(*) FROM fl) AS failures, (SELECT count(*) FROM fl WHERE implicated) AS implicated, (SELECT count(*) FROM g WHERE up) AS active_guidelines FROM (SELECT count(*) AS calls, count(DISTINCT session_id) AS sessions, {_RATIO} AS ratio, (sum(original_token_count) - sum(compressed_token_count))::BIGINT AS saved_tokens, count(*) FILTER (WHERE low_signal) AS low_signal FROM tr)",
-    "trace_by_task": f"WITH {TRACES} SELECT id, session_id, tool_name FROM tr WHERE task_id = 5",
+    "trace_by_task": f"WITH {TRACES} SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY created_at, id) AS position, id, session_id, tool_name FROM tr",
     "trace_diff": f"WITH {TRACES}, c AS (SELECT id, 's' || (id % 13 + 1) AS chunk_id, true AS selected FROM tr UNION ALL SELECT id, 's' || (id % 13 + 2), true FROM tr UNION ALL SELECT id, 'p' || (id % 13 + 1), false FROM tr) SELECT id, chunk_id, selected, CASE WHEN selected THEN chunk_id || '!' END AS preview, CASE WHEN selected THEN length(chunk_id) END AS tokens, CASE WHEN NOT selected THEN length(chunk_id) / 2.0 END AS score FROM c",
     "failure_detect": f"WITH {TRACES}, {OUTCOMES} SELECT task_id, implicated, array_to_string(tool_names, ',') AS tools, array_to_string(pruned_types, ',') AS types FROM fl",
     "failure_counts_by_tool": f"WITH {TRACES}, {OUTCOMES} SELECT tool_name, count(*) AS failures FROM (SELECT unnest(tool_names) AS tool_name FROM fl WHERE implicated) GROUP BY 1",
     "acon_update": f"WITH {TRACES}, {OUTCOMES} SELECT tool_name, chunk_type, count(*) AS failures, round(least(power(1.2, floor(count(*) / 3)), 3.0), 6) AS score_multiplier, max(created_at) AS last_failure_at FROM pairs GROUP BY 1, 2",
     "guideline_history": f"WITH {TRACES}, {OUTCOMES}, n AS (SELECT *, row_number() OVER (PARTITION BY tool_name, chunk_type ORDER BY created_at, task_id) AS n FROM pairs), h AS (SELECT tool_name, chunk_type, round(least(power(1.2, n / 3 - 1), 3.0), 6) AS old_multiplier, round(least(power(1.2, n / 3), 3.0), 6) AS new_multiplier, task_id, created_at FROM n WHERE n % 3 = 0) SELECT * FROM h WHERE old_multiplier <> new_multiplier",
     "acon_decay": f"WITH {TRACES}, {OUTCOMES}, g AS (SELECT tool_name, chunk_type, round(least(power(1.2, floor(count(*) / 3)), 3.0), 6) AS m, max(created_at) AS t FROM pairs GROUP BY 1, 2) SELECT tool_name, chunk_type, round(CASE WHEN m > 1 AND t <= make_timestamp(2 * 86400 * 1000000::BIGINT) THEN greatest(m * 0.9025, 1) ELSE m END, 6) AS multiplier FROM g",
-    "guideline_upsert": f"WITH {TRACES} SELECT session_id, tool_name, max(created_at) AS created_at FROM tr WHERE id % 2 = 0 OR id % 3 = 0 GROUP BY 1, 2",
-    "trace_append": f"WITH {TRACES} SELECT id, session_id FROM tr WHERE id % 6 = 0 AND id % 4 <> 0",
+    "guideline_upsert": f"WITH {TRACES} SELECT session_id, tool_name, max(created_at) AS created_at FROM tr GROUP BY 1, 2",
+    "trace_append": f"WITH {TRACES} SELECT id, session_id FROM tr WHERE NOT low_signal",
     "adaptive_budget": f"WITH {TRACES}, u AS (SELECT id, coalesce(sum(compressed_token_count) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / 20000.0::DOUBLE AS u FROM tr) SELECT id, floor(4000 * CASE WHEN u <= 0.5 THEN 1.0::DOUBLE ELSE greatest(0.3::DOUBLE, 1 - (u - 0.5::DOUBLE) / 0.5::DOUBLE * 0.7::DOUBLE) END + 0.5::DOUBLE)::BIGINT AS effective_budget FROM u",
     "recent_steps": "SELECT conv_id, turn, coalesce(array_to_string(list(role || ':' || substr(text, 1, 10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS steps FROM conversations",
     "session_ttl": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS f FROM events), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s",
