@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 SLACK = 0.15
 
 
-def closures(edges: DataFrame, key: str, depth: int = 32) -> DataFrame:
+def _written(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` computed once, as a table in the shared folder (spark.checkpoint.dir; one of this machine where it is unset, as in tests), and its number of rows. The table is removed when the driver ends."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
+    path = f"{base.rstrip('/')}/quern-closure-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), rows.get.get("n", 0)
+
+
+def closures(edges: DataFrame, key: str) -> DataFrame:
     """(key, src, dst): what each chunk depends on, directly or not, itself excluded; cycles are legal.
 
-    Paths double in each round, so that ``depth`` is reached in its logarithm of joins within calls.
+    Paths double in each round, until a round finds no more: the logarithm of the longest chain in joins within
+    calls, each written before the next so that plans stay small. Edges with a null in them lead nowhere.
     """
-    paths = edges.select(key, "src", "dst").where("src <> dst").distinct()
-    reach = 1
-    while reach < depth:
+    paths, found = _written(edges.select(key, "src", "dst").where(F.col(key).isNotNull() & (F.col("src") != F.col("dst"))).distinct())
+    before = -1
+    while found > before:
         step = paths.select(F.col(key).alias("__key"), F.col("src").alias("__mid"), F.col("dst").alias("__end"))
-        longer = paths.join(step, (F.col(key) == F.col("__key")) & (F.col("dst") == F.col("__mid"))).select(key, "src", F.col("__end").alias("dst"))
-        paths = paths.union(longer).where("src <> dst").distinct()
-        reach *= 2
+        longer = paths.join(step, (F.col(key) == F.col("__key")) & (F.col("dst") == F.col("__mid"))).where(F.col("src") != F.col("__end")).select(key, "src", F.col("__end").alias("dst"))
+        before = found
+        paths, found = _written(paths.union(longer).distinct())
     return paths
 
 

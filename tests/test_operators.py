@@ -72,6 +72,9 @@ def test_greedy_with_dependencies(spark):
 def test_closure_with_cycles(spark):
     edges = spark.createDataFrame([("c", 1, 2), ("c", 2, 1), ("c", 2, 3), ("d", 1, 9)], "k string, src int, dst int")
     assert {tuple(r) for r in select.closures(edges, "k").collect()} == {("c", 1, 2), ("c", 1, 3), ("c", 2, 1), ("c", 2, 3), ("d", 1, 9)}
+    assert select.closures(edges.where("src > 9"), "k").count() == 0
+    chain = spark.range(40).select(F.lit("c").alias("k"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert select.closures(chain, "k").count() == 40 * 41 // 2
 
 
 def test_json_values_are_kept_once():
