@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detect, text
 from ..operators import feedback, parsers, reports, score, segment, select
 from . import compress as plan
+from . import engine
 
 TOK = r"'[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'"
 SPACED = r"'[ \t\r\n]*(?:[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n])'"
@@ -219,6 +220,34 @@ def compress_documents(spark, d):
     return plan.compress(calls, budget=400, bucket=score.md5_bucket)
 
 
+def _all_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls in several formats from whole tables: pages, documents, order lines as CSV, line items as JSON, events as logs; key ranges bound what one call holds."""
+    text_of = lambda df, keys: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x")).withColumn("raw_output", F.transform("x", lambda y: y["line"]))
+    named = lambda df, src, k: df.select(F.concat(F.lit(f"{src}:"), F.col(k).cast("string")).alias("call_id"), F.lit(src).alias("tool_name"), "raw_output")
+    joined = lambda df, head="", end="", mark="\n": df.withColumn("raw_output", F.concat(F.lit(head), F.array_join("raw_output", mark), F.lit(end)))
+    orders = _t(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 400).alias("k"), F.col("o_orderkey").alias("pos"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("line"))
+    items = _t(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 50).alias("k"), F.struct("l_orderkey", "l_linenumber").alias("pos"), F.to_json(F.struct("l_orderkey", "l_partkey", "l_quantity", F.struct("l_returnflag", "l_linestatus").alias("state"))).alias("line"))
+    events = _t(spark, d, "events").select(F.floor(F.col("event_id") / 200).alias("k"), F.col("event_id").alias("pos"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_type") == "error", " ERROR ").otherwise(" INFO "), "event_type", F.lit(" user "), F.col("user_id").cast("string"), F.lit(" "), "props").alias("line"))
+    parts = [
+        named(_t(spark, d, "pages").withColumnRenamed("html", "raw_output"), "page", "page_id"),
+        named(_t(spark, d, "documents").withColumnRenamed("text", "raw_output"), "document", "doc_id"),
+        named(joined(text_of(orders, ["k"]), "key,status,priority\n"), "orders", "k"),
+        named(joined(text_of(items, ["k"]), '{"items": [', "]}", ","), "items", "k"),
+        named(joined(text_of(events, ["k"])), "events", "k"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def compress_calls(spark, d):
+    """The whole engine, with the guidelines learned from the failures: every format, dependencies, traces."""
+    calls = _all_calls(spark, d).crossJoin(F.broadcast(_task(spark, d)))
+    out = engine.compress_calls(calls, feedback.guidelines(_pairs(spark, d)), budget=1500)
+    return out.select("call_id", "format", F.sha2("output", 256).alias("output_sha256"), "original_tokens", "compressed_tokens", "ratio", "chunks_selected", "chunks_total", "signal", F.size("trace.chunk_ids_pruned").cast("long").alias("pruned"))
+
+
 def result_cache_distinct(spark, d):
     return plan.distinct_work(_docs(spark, d), ["raw_output"]).select("first_call", "calls")
 
@@ -357,7 +386,7 @@ def mixed_segments(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_sections, json_chunks, code_chunks, mixed_segments,
+    compress_calls, html_sections, json_chunks, code_chunks, mixed_segments,
     token_count, truncate, split_tokens, prefilter, detect_format, csv_windows, csv_categories, log_events, line_formats, markdown_sections, shell_commands, paragraphs, dedup_first, cap_chunks, split_oversized,
     lexical_score, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
