@@ -178,20 +178,22 @@ def _exact_blocks(k: int, num: int, den: int):
 
     def compare(name: tuple, rows: list) -> tuple[np.ndarray, np.ndarray]:
         ids, blk = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        sizes = np.array([len(r[2]) for r in rows])
-        place = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)[1]
+        sizes, n = np.array([len(r[2]) for r in rows]), len(rows)
+        known = np.unique(np.concatenate([np.unique(np.concatenate([r[2] for r in rows[i : i + 32]])) for i in range(0, n, 32)]))
+        place = np.concatenate([np.searchsorted(known, r[2]).astype(np.int32) for r in rows])
+        rows.clear()  # the sets are needed no more, and the next group is read while this list is still held
         at = np.concatenate([[0], np.cumsum(sizes)])
-        mark = np.zeros(len(place) + 1, dtype=np.int32)
+        mark = np.zeros(len(known), dtype=np.uint8)
         out_a, out_b = [], []
-        for r in range(len(rows) - 1):
+        for r in range(n - 1):
             own = place[at[r] : at[r + 1]]
             mark[own] = 1
-            both = np.add.reduceat(mark[place[at[r + 1] :]], at[r + 1 : -1] - at[r + 1])
+            both = np.add.reduceat(mark[place[at[r + 1] :]], at[r + 1 : -1] - at[r + 1], dtype=np.int64)
             mark[own] = 0
             w = np.flatnonzero((den * both >= num * (sizes[r] + sizes[r + 1 :] - both)) & ((blk[r + 1 :] == blk[r]) == (name[1] == name[2])))
             out_a.append(np.full(len(w), r))
             out_b.append(r + 1 + w)
-        return ids, _roots(len(rows), np.concatenate(out_a), np.concatenate(out_b))
+        return ids, _roots(n, np.concatenate(out_a), np.concatenate(out_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _edges(compare(name, rows) for name, rows in _by_group(batches, 3, make) if len(rows) > 1)
@@ -200,11 +202,12 @@ def _exact_blocks(k: int, num: int, den: int):
 
 
 def _in_blocks(rows: DataFrame, group: str, id_col: str) -> DataFrame:
-    """Each row (with ``size``, of its group) once for each pair of blocks (i, j) that its block is in, the rows of a pair standing together. Groups up to BLOCK rows are one pair; no pair has more than about 2 * BLOCK rows."""
+    """Each row (with ``size``, of its group) once for each pair of blocks (i, j) that its block is in, the rows of a pair standing together. Groups up to BLOCK rows are one pair; no pair has more than about 2 * BLOCK rows. Work goes with the pairs, not with the bytes, so the number of tasks is stated and small ones aren't put together."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.withColumn("blk", F.pmod(F.xxhash64(id_col), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("i", F.least("blk", "with")).withColumn("j", F.greatest("blk", "with"))
-    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", id_col)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, group, "i", "j").sortWithinPartitions(group, "i", "j", id_col)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
