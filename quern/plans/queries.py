@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect, text
-from ..operators import feedback, parsers, reports, score, segment, select
+from ..operators import feedback, parsers, reports, score, segment, select, views
 from . import compress as plan
 from . import engine
 
@@ -385,11 +385,55 @@ def mixed_segments(spark, d):
     return parsers.parse_chunks(_docs(spark, d), "mixed").groupBy("call_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
+def _diff_traces(spark, d):
+    """Traces with token counts on record for both sides."""
+    tr = _traces(spark, d)
+    ids = F.concat("chunk_ids_selected", "chunk_ids_pruned")
+    empty = F.create_map().cast("map<string,string>")
+    return tr.withColumn("chunk_previews", empty).withColumn("chunk_token_counts", F.map_from_arrays(ids, F.transform(ids, lambda i: F.length(i).cast("long")))).withColumn("chunk_scores", F.create_map().cast("map<string,double>"))
+
+
+def chunk_type_histogram(spark, d):
+    return views.chunk_type_histogram(_traces(spark, d))
+
+
+def kept_and_pruned(spark, d):
+    return views.kept_and_pruned(reports.trace_diff(_diff_traces(spark, d)))
+
+
+def active_sessions(spark, d):
+    now = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    return views.active_sessions(reports.session_summaries(_traces(spark, d)), now, 24 * 60).select("session_id", "last_seen")
+
+
+def task_sessions(spark, d):
+    return views.task_sessions(_t(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup").groupBy("user_id", "session_ordinal").agg(F.count("*").alias("n"))
+
+
+def call_metadata(spark, d):
+    items = _traces(spark, d).select("session_id", F.col("task_id").alias("call_id"), F.col("original_token_count").alias("original_tokens"), F.col("compressed_token_count").alias("compressed_tokens"))
+    return views.call_metadata(items)
+
+
+def merged_failures(spark, d):
+    f = _failures(spark, d).select("task_id", "implicated", "created_at")
+    return views.merged_failures(f.where("implicated"), f).select("task_id", "implicated")
+
+
+def cache_stats(spark, d):
+    return views.cache_stats(_t(spark, d, "documents").select(F.sha2("text", 256).alias("k")), "k")
+
+
+def eval_conditions(spark, d):
+    return views.conditions(_t(spark, d, "benchmark").select("item_id"), [2000, 8000])
+
+
 QUERIES = {f.__name__: f for f in (
     compress_calls, html_sections, json_chunks, code_chunks, mixed_segments,
     token_count, truncate, split_tokens, prefilter, detect_format, csv_windows, csv_categories, log_events, line_formats, markdown_sections, shell_commands, paragraphs, dedup_first, cap_chunks, split_oversized,
     lexical_score, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
+    chunk_type_histogram, kept_and_pruned, active_sessions, task_sessions, call_metadata, merged_failures, cache_stats, eval_conditions,
     adaptive_budget, recent_steps, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
 )}
 
@@ -460,6 +504,16 @@ SQL = {
     "history_newest": f"WITH {TRACES} SELECT id, created_at FROM tr ORDER BY created_at DESC, id DESC LIMIT 500",
 }
 
+SQL |= {
+    "chunk_type_histogram": f"WITH {TRACES} SELECT pruned_type AS chunk_type, count(*) AS n FROM tr GROUP BY 1",
+    "kept_and_pruned": f"WITH {TRACES} SELECT id, (length('s' || (id % 13 + 1)) + length('s' || (id % 13 + 2)))::BIGINT AS kept_tokens, length('p' || (id % 13 + 1))::BIGINT AS pruned_tokens FROM tr",
+    "active_sessions": "SELECT user_id AS session_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 24 HOUR",
+    "task_sessions": "SELECT user_id, s AS session_ordinal, count(*) AS n FROM (SELECT user_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM events) GROUP BY 1, 2",
+    "call_metadata": f"WITH {TRACES}, c AS (SELECT session_id, task_id AS call_id, count(*) AS items, sum(original_token_count)::BIGINT AS original_tokens, sum(compressed_token_count)::BIGINT AS compressed_tokens FROM tr GROUP BY 1, 2) SELECT *, round(CASE WHEN original_tokens > 0 THEN compressed_tokens / original_tokens ELSE 1.0 END, 9) AS ratio, sum(compressed_tokens) OVER (PARTITION BY session_id ORDER BY call_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_tokens FROM c",
+    "merged_failures": f"WITH {TRACES}, {OUTCOMES} SELECT task_id, implicated FROM fl",
+    "cache_stats": "SELECT count(DISTINCT text) AS size, count(*) - count(DISTINCT text) AS hits, count(DISTINCT text) AS misses, round((count(*) - count(DISTINCT text)) / count(*), 9) AS hit_rate FROM documents",
+    "eval_conditions": "SELECT item_id, c.condition, c.budget_tokens FROM benchmark, (VALUES ('baseline', NULL::BIGINT), ('budget_2k', 2000), ('budget_8k', 8000)) c(condition, budget_tokens)",
+}
 SQL["code_chunks"] = "SELECT p_partkey % 20 AS call_id, count(*) AS functions, 1::BIGINT AS imports, (count(*) - 1)::BIGINT AS edges FROM part GROUP BY 1"
 SQL["compress_documents"] = f"""WITH RECURSIVE doc AS (SELECT doc_id AS call_id, text, regexp_extract_all(text, {SPACED}) AS t FROM documents),
 ch AS (SELECT call_id, i AS ord, call_id * 100000 + i AS k, array_to_string(t[i * 200 + 1 : i * 200 + 200], '') AS content, least(200, len(t) - i * 200)::BIGINT AS tok FROM doc, range(2000) r(i) WHERE len(t) >= 1000 AND i * 200 < len(t)),
