@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 
 BUCKETS, HEAD = 512, 400
+#: Rows and query rows that are held against each other at once.
+ROW_BLOCK, QUERY_BLOCK = 8192, 256
 
 
 def crc_bucket(word: Column, buckets: int = BUCKETS) -> Column:
@@ -52,6 +58,63 @@ def rolling(base: Column, steps: Column, share: float = 0.4) -> Column:
     return F.element_at(F.transform(mixed, lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))), 1)
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """One row for each block of about ``size`` rows (vec_id, embedding, label)."""
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding", "label")).alias("x")).select("x")
+
+
+def _unpacked(block: pa.StructArray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and labels; what is null is NaN."""
+    ids, vectors, labels = (block.field(i) for i in range(3))
+    full = np.full((len(block), dim), np.nan)
+    full[np.asarray(vectors.is_valid())] = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return ids.to_numpy(zero_copy_only=False), full, labels.cast("double").to_numpy(zero_copy_only=False)
+
+
+def against_all(rows: DataFrame, queries: DataFrame, values: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], names: list[str], k: int | None = None) -> DataFrame:
+    """(query_id, vec_id, names): every row of ``queries`` against every row of ``rows`` (vec_id, embedding, label), in blocks.
+
+    ``values`` makes from query vectors, row vectors and row labels one matrix (queries x rows) for each name. Values are
+    rounded to six places; with ``k`` the best ``k`` of each query by the first of them stay, ties by vec_id. What has no
+    value (no vector, or one of length zero) is null and comes last.
+    """
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    schema = ", ".join(["query_id long", "vec_id long", *(f"{n} double" for n in names)])
+    types = [pa.int64(), pa.int64(), *[pa.float64()] * len(names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q, _ = _unpacked(batch.column(1)[i].values, dim)
+                ids, v, labels = _unpacked(batch.column(0)[i].values, dim)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    made = {n: np.round(m, 6) for n, m in values(q, v, labels).items()}
+                for j, query in enumerate(q_ids):
+                    mine = [made[n][j] for n in names]
+                    keep = slice(None) if k is None else np.lexsort((ids, -mine[0]))[:k]
+                    out = [np.full(len(ids[keep]), query), ids[keep], *(m[keep] for m in mine)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    pairs = _blocks(rows, ROW_BLOCK).crossJoin(_blocks(queries, QUERY_BLOCK).withColumnRenamed("x", "q"))
+    out = pairs.mapInArrow(run, schema)
+    if k is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(names[0]), "vec_id"))
+    return out.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (q @ v.T) / np.sqrt(np.outer((q * q).sum(1), (v * v).sum(1)))
+
+
+def rolled(q: np.ndarray, v: np.ndarray, share: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """Of rolling(v, q), for all pairs: the first component and the squared length after scaling. No pair's vector is held."""
+    size = np.sqrt(np.maximum(share**2 * (v * v).sum(1)[None, :] + (1 - share) ** 2 * (q * q).sum(1)[:, None] + 2 * share * (1 - share) * (q @ v.T), 0))
+    first = (share * v[:, 0][None, :] + (1 - share) * q[:, 0][:, None]) / size
+    return first, np.where(np.isnan(first), np.nan, 1.0)
+
+
 def clamp(multiplier: Column, most: float = 3.0) -> Column:
     return F.least(F.greatest(multiplier, F.lit(1.0)), F.lit(most))
 

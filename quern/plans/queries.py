@@ -189,6 +189,24 @@ def rolling_context(spark, d):
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(score.dot(v, v), 6).alias("norm"))
 
 
+def _searched(spark, d):
+    """All vectors, and as queries all whose id is divisible by 100."""
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return e, e.where("vec_id % 100 = 0")
+
+
+def cosine_topk_all(spark, d):
+    return score.against_all(*_searched(spark, d), lambda q, v, _: {"cos": score.cosines(q, v)}, ["cos"], 20)
+
+
+def hybrid_score_all(spark, d):
+    return score.against_all(*_searched(spark, d), lambda q, v, label: {"score": score.hybrid(score.cosines(q, v), label[None, :] / 10.0)}, ["score"])
+
+
+def rolling_context_all(spark, d):
+    return score.against_all(*_searched(spark, d), lambda q, v, _: dict(zip(("first", "norm"), score.rolled(q, v), strict=True)), ["first", "norm"])
+
+
 def signal_quality(spark, d):
     s = F.col("value")
     return _t(spark, d, "events").groupBy("user_id").agg(detect.signal_quality(F.count("*"), F.min(s), F.max(s), F.stddev_pop(s)).alias("signal"), F.round(F.stddev_pop(s), 6).alias("deviation"))
@@ -431,6 +449,7 @@ def eval_conditions(spark, d):
 QUERIES = {f.__name__: f for f in (
     compress_calls, html_sections, json_chunks, code_chunks, mixed_segments,
     token_count, truncate, split_tokens, prefilter, detect_format, csv_windows, csv_categories, log_events, line_formats, markdown_sections, shell_commands, paragraphs, dedup_first, cap_chunks, split_oversized,
+    cosine_topk_all, hybrid_score_all, rolling_context_all,
     lexical_score, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
     chunk_type_histogram, kept_and_pruned, active_sessions, task_sessions, call_metadata, merged_failures, cache_stats, eval_conditions,
@@ -514,6 +533,12 @@ SQL |= {
     "cache_stats": "SELECT count(DISTINCT text) AS size, count(*) - count(DISTINCT text) AS hits, count(DISTINCT text) AS misses, round((count(*) - count(DISTINCT text)) / count(*), 9) AS hit_rate FROM documents",
     "eval_conditions": "SELECT item_id, c.condition, c.budget_tokens FROM benchmark, (VALUES ('baseline', NULL::BIGINT), ('budget_2k', 2000), ('budget_8k', 8000)) c(condition, budget_tokens)",
 }
+_SEARCHED = "embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)"
+SQL |= {
+    "cosine_topk_all": f"SELECT query_id, vec_id, cos FROM (SELECT query_id, vec_id, round({_COS}, 6) AS cos FROM {_SEARCHED}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC NULLS LAST, vec_id) <= 20",
+    "hybrid_score_all": f"SELECT query_id, vec_id, round({_COS} * 0.75 + label / 10.0 * 0.25, 6) AS score FROM {_SEARCHED}",
+    "rolling_context_all": f"SELECT query_id, vec_id, round(v[1] / sqrt(n), 6) AS first, 1.0::DOUBLE AS norm FROM (SELECT query_id, vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS n FROM (SELECT query_id, vec_id, list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * 0.4 + z[2]::DOUBLE * 0.6) AS v FROM {_SEARCHED}))",
+}
 SQL["code_chunks"] = "SELECT p_partkey % 20 AS call_id, count(*) AS functions, 1::BIGINT AS imports, (count(*) - 1)::BIGINT AS edges FROM part GROUP BY 1"
 SQL["compress_documents"] = f"""WITH RECURSIVE doc AS (SELECT doc_id AS call_id, text, regexp_extract_all(text, {SPACED}) AS t FROM documents),
 ch AS (SELECT call_id, i AS ord, call_id * 100000 + i AS k, array_to_string(t[i * 200 + 1 : i * 200 + 200], '') AS content, least(200, len(t) - i * 200)::BIGINT AS tok FROM doc, range(2000) r(i) WHERE len(t) >= 1000 AND i * 200 < len(t)),
