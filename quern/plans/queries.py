@@ -345,6 +345,12 @@ def recent_steps(spark, d):
     return reports.recent_steps(c, "conv_id", "turn", "step").select("conv_id", "turn", F.array_join("recent_steps", "|").alias("steps"))
 
 
+def recent_steps_whole(spark, d):
+    """The same with whole texts; steps get wide, so that their hash is given."""
+    c = _t(spark, d, "conversations").withColumn("step", F.concat("role", F.lit(":"), "text"))
+    return reports.recent_steps(c, "conv_id", "turn", "step").select("conv_id", "turn", F.size("recent_steps").cast("long").alias("n"), F.sha2(F.array_join("recent_steps", "|"), 256).alias("steps_sha256"))
+
+
 def session_ttl(spark, d):
     w = F.session_window("ts", "60 minutes")
     return _t(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
@@ -453,7 +459,7 @@ QUERIES = {f.__name__: f for f in (
     lexical_score, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
     chunk_type_histogram, kept_and_pruned, active_sessions, task_sessions, call_metadata, merged_failures, cache_stats, eval_conditions,
-    adaptive_budget, recent_steps, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
+    adaptive_budget, recent_steps, recent_steps_whole, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
 )}
 
 _RATIO = "round(CASE WHEN sum(original_token_count) > 0 THEN sum(compressed_token_count) / sum(original_token_count) ELSE 1.0 END, 9)"
@@ -539,6 +545,7 @@ SQL |= {
     "hybrid_score_all": f"SELECT query_id, vec_id, round({_COS} * 0.75 + label / 10.0 * 0.25, 6) AS score FROM {_SEARCHED}",
     "rolling_context_all": f"SELECT query_id, vec_id, round(v[1] / sqrt(n), 6) AS first, 1.0::DOUBLE AS norm FROM (SELECT query_id, vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS n FROM (SELECT query_id, vec_id, list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * 0.4 + z[2]::DOUBLE * 0.6) AS v FROM {_SEARCHED}))",
 }
+SQL["recent_steps_whole"] = "SELECT conv_id, turn, len(s)::BIGINT AS n, sha256(array_to_string(s, '|')) AS steps_sha256 FROM (SELECT conv_id, turn, coalesce(list(role || ':' || text) FILTER (WHERE role IS NOT NULL AND text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS s FROM conversations)"
 SQL["code_chunks"] = "SELECT p_partkey % 20 AS call_id, count(*) AS functions, 1::BIGINT AS imports, (count(*) - 1)::BIGINT AS edges FROM part GROUP BY 1"
 SQL["compress_documents"] = f"""WITH RECURSIVE doc AS (SELECT doc_id AS call_id, text, regexp_extract_all(text, {SPACED}) AS t FROM documents),
 ch AS (SELECT call_id, i AS ord, call_id * 100000 + i AS k, array_to_string(t[i * 200 + 1 : i * 200 + 200], '') AS content, least(200, len(t) - i * 200)::BIGINT AS tok FROM doc, range(2000) r(i) WHERE len(t) >= 1000 AND i * 200 < len(t)),
