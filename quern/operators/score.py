@@ -14,6 +14,8 @@ from ..functions.text import words
 BUCKETS, HEAD = 512, 400
 #: Rows and query rows that are held against each other at once.
 ROW_BLOCK, QUERY_BLOCK = 8192, 256
+#: Tasks in one plan, and chunks in one product with them.
+TASK_BLOCK, CHUNK_BLOCK = 4096, 256
 
 
 def crc_bucket(word: Column, buckets: int = BUCKETS) -> Column:
@@ -40,6 +42,45 @@ def lexical_scores(chunks: DataFrame, tasks: DataFrame, keys: list[str], on: lis
     return chunks.select(*keys).join(hits, keys, "left").select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _dense(buckets: list[list[int] | None]) -> np.ndarray:
+    """Bags as rows of unit length, zero for a text without words."""
+    at = np.array([i * BUCKETS + b for i, x in enumerate(buckets) for b in x or ()], dtype=np.int64)
+    n = np.bincount(at, minlength=len(buckets) * BUCKETS).reshape(len(buckets), BUCKETS).astype(float)
+    return n / np.maximum(np.sqrt((n * n).sum(1, keepdims=True)), 1)
+
+
+def scores_against_all(chunks: DataFrame, tasks: DataFrame, key: str, task_key: str, text: str = "content", task: str = "task", bucket=crc_bucket, head: int | None = HEAD) -> DataFrame:
+    """(key, task_key, score): the score of lexical_scores(), of every chunk against every task, to six places. Keys are longs.
+
+    Chunks stay where they are: bags of tasks, 4,096 in one plan, go to them. No tasks give no rows.
+    """
+    hashed = lambda df, k, t: df.select(F.col(k).cast("long"), F.transform(words(t), lambda w: bucket(w)).cast("array<int>").alias("buckets"))
+    own, schema = hashed(chunks, key, F.substring(F.col(text), 1, head) if head else F.col(text)), f"{key} long, {task_key} long, score double"
+
+    def scored(part: list) -> DataFrame:
+        ids, asked = np.array([r[0] for r in part]), _dense([r[1] for r in part]).T
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, CHUNK_BLOCK):
+                    some = batch.slice(i, CHUNK_BLOCK)
+                    made = np.round(_dense(some.column(1).to_pylist()) @ asked, 6)
+                    keys = some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), len(ids))))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(ids, some.num_rows)), pa.array(made.ravel())], [key, task_key, "score"])
+
+        return own.mapInArrow(run, schema)
+
+    out, part = None, []
+    rows = hashed(tasks, task_key, F.col(task)).toLocalIterator()
+    for row in rows:
+        part.append(row)
+        if len(part) == TASK_BLOCK:
+            out, part = scored(part) if out is None else out.union(scored(part)), []
+    if part:
+        out = scored(part) if out is None else out.union(scored(part))
+    return chunks.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

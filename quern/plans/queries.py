@@ -189,6 +189,20 @@ def rolling_context(spark, d):
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(score.dot(v, v), 6).alias("norm"))
 
 
+def lexical_score_all(spark, d):
+    """Every document against every benchmark item."""
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return score.scores_against_all(docs, _t(spark, d, "benchmark").select("item_id", F.col("text").alias("task")), "doc_id", "item_id", bucket=score.md5_bucket)
+
+
+def _dealt(spark, d, calls):
+    """Calls with tasks of their own: all benchmark items, dealt out by the hash of call_id; null if there are none."""
+    items = _t(spark, d, "benchmark")
+    n = items.count()
+    tasks = items.select((F.row_number().over(Window.orderBy("item_id", "text")) - 1).cast("long").alias("__n"), F.col("text").alias("task"))
+    return calls.withColumn("__n", F.pmod(F.crc32(F.encode("call_id", "UTF-8")), F.lit(max(n, 1)))).join(F.broadcast(tasks), "__n", "left").drop("__n")
+
+
 def _searched(spark, d):
     """All vectors, and as queries all whose id is divisible by 100."""
     e = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
@@ -234,7 +248,7 @@ def reconstruct(spark, d):
 
 
 def compress_documents(spark, d):
-    calls = _docs(spark, d).crossJoin(F.broadcast(_task(spark, d)))
+    calls = _docs(spark, d).join(F.broadcast(_task(spark, d)), F.lit(True), "left")
     return plan.compress(calls, budget=400, bucket=score.md5_bucket)
 
 
@@ -261,7 +275,7 @@ def _all_calls(spark: SparkSession, d: str) -> DataFrame:
 
 def compress_calls(spark, d):
     """The whole engine, with the guidelines learned from the failures: every format, dependencies, traces."""
-    calls = _all_calls(spark, d).crossJoin(F.broadcast(_task(spark, d)))
+    calls = _dealt(spark, d, _all_calls(spark, d))
     out = engine.compress_calls(calls, feedback.guidelines(_pairs(spark, d)), budget=1500)
     return out.select("call_id", "format", F.sha2("output", 256).alias("output_sha256"), "original_tokens", "compressed_tokens", "ratio", "chunks_selected", "chunks_total", "signal", F.size("trace.chunk_ids_pruned").cast("long").alias("pruned"))
 
@@ -456,7 +470,7 @@ QUERIES = {f.__name__: f for f in (
     compress_calls, html_sections, json_chunks, code_chunks, mixed_segments,
     token_count, truncate, split_tokens, prefilter, detect_format, csv_windows, csv_categories, log_events, line_formats, markdown_sections, shell_commands, paragraphs, dedup_first, cap_chunks, split_oversized,
     cosine_topk_all, hybrid_score_all, rolling_context_all,
-    lexical_score, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
+    lexical_score, lexical_score_all, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
     chunk_type_histogram, kept_and_pruned, active_sessions, task_sessions, call_metadata, merged_failures, cache_stats, eval_conditions,
     adaptive_budget, recent_steps, recent_steps_whole, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
@@ -545,6 +559,7 @@ SQL |= {
     "hybrid_score_all": f"SELECT query_id, vec_id, round({_COS} * 0.75 + label / 10.0 * 0.25, 6) AS score FROM {_SEARCHED}",
     "rolling_context_all": f"SELECT query_id, vec_id, round(v[1] / sqrt(n), 6) AS first, 1.0::DOUBLE AS norm FROM (SELECT query_id, vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS n FROM (SELECT query_id, vec_id, list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * 0.4 + z[2]::DOUBLE * 0.6) AS v FROM {_SEARCHED}))",
 }
+SQL["lexical_score_all"] = f"WITH d AS ({_BAG.format(k='doc_id', t='substr(text, 1, 400)', src='documents')}), q AS ({_BAG.format(k='item_id', t='text', src='benchmark')}) SELECT doc_id, item_id, round(coalesce(s, 0), 6) AS score FROM documents CROSS JOIN benchmark LEFT JOIN (SELECT doc_id, item_id, sum(d.w * q.w) AS s FROM d JOIN q USING (b) GROUP BY 1, 2) USING (doc_id, item_id)"
 SQL["recent_steps_whole"] = "SELECT conv_id, turn, len(s)::BIGINT AS n, sha256(array_to_string(s, '|')) AS steps_sha256 FROM (SELECT conv_id, turn, coalesce(list(role || ':' || text) FILTER (WHERE role IS NOT NULL AND text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS s FROM conversations)"
 SQL["code_chunks"] = "SELECT p_partkey % 20 AS call_id, count(*) AS functions, 1::BIGINT AS imports, (count(*) - 1)::BIGINT AS edges FROM part GROUP BY 1"
 SQL["compress_documents"] = f"""WITH RECURSIVE doc AS (SELECT doc_id AS call_id, text, regexp_extract_all(text, {SPACED}) AS t FROM documents),
