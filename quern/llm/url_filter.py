@@ -18,6 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _LINK = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_BASE = r"(?is)<base\b[^>]*?\bhref\s*=[^>]*>"
+_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,15 +46,40 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with "." and ".." followed (RFC 3986, 5.2.4)."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(path.rlike(r"/\.\.?$"), F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+
+
+def resolved(to: Column, host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path of a reference found at a host and path; null if it names no host (mailto: and the like)."""
+    full = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to).when(to.startswith("//"), F.concat(F.lit("x:"), to))
+    other = ~to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    own = F.regexp_extract(to, "^([^?#]*)", 1)
+    merged = F.when(own == "", path).when(own.startswith("/"), without_dots(own)).otherwise(without_dots(F.concat(F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/")), own)))
+    full_host, full_path = host_and_path(full)
+    return F.when(full.isNotNull(), full_host).when(other, host), F.when(full.isNotNull(), full_path).when(other, merged)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): from each page to the target of its canonical link and of its refresh redirect; node names are host followed by path."""
-    tag = lambda mark, pattern: F.when(F.lower("html").contains(mark), F.regexp_extract("html", pattern, 0))
-    href = F.regexp_extract(tag("canonical", _LINK), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    goes = F.regexp_extract(tag("refresh", _META), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    out = pages.select("host", "path", F.explode(F.array(href, goes)).alias("to")).where("to <> ''")
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("x://"), "host", "to"))
-    host, path = host_and_path(full)
-    return out.where(full.isNotNull()).select(F.concat("host", "path").alias("a"), F.concat(host, path).alias("b"))
+    """(a, b): from each page to the targets of all its canonical links and refresh redirects; node names are host followed by path.
+
+    Relative targets are resolved (RFC 3986) against the page's first base element with href, if there is one, itself
+    resolved against the page, else against the page. Full URLs are taken as they are written.
+    """
+    tags = lambda mark, pattern: F.when(F.lower("html").contains(mark), F.regexp_extract_all("html", F.lit(pattern), F.lit(0)))
+    none = F.array().cast("array<string>")
+    targets = lambda mark, pattern, value: F.coalesce(F.transform(tags(mark, pattern), lambda t: F.regexp_extract(t, value, 1)), none)
+    goes = F.concat(targets("canonical", _LINK, _HREF), targets("refresh", _META, _URL))
+    found = pages.select("host", "path", "html", goes.alias("goes")).where(F.size("goes") > 0)
+    out = found.select("host", "path", F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1).alias("base"), F.explode("goes").alias("to")).where("to <> ''")
+    base_host, base_path = resolved(F.col("base"), F.col("host"), F.col("path"))
+    out = out.select("host", "path", "to", F.coalesce(base_host, "host").alias("from_host"), F.coalesce(base_path, "path").alias("from_path"))
+    host, path = resolved(F.col("to"), F.col("from_host"), F.col("from_path"))
+    return out.select(F.concat("host", "path").alias("a"), F.concat(host, path).alias("b")).where("b is not null")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -64,8 +92,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
     allows one of them, else block if a rule blocks one, else ``default``. A page's own rule always stands.
 
     Null urls, and those without ``://``, have empty host and path, are in no component and get ``default``. Null
-    html has no links. Repeated rows stay; further columns are ignored; relative links without a leading slash are
-    not followed. No rows give no rows.
+    html has no links. Repeated rows stay; further columns are ignored. No rows give no rows.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
