@@ -96,8 +96,7 @@ def parse_archive(data: bytes, payloads: bool) -> Iterator[tuple]:
         yield kind, fields["WARC-Record-ID"], fields.get("WARC-Concurrent-To"), fields.get("WARC-Refers-To"), fields["WARC-Target-URI"], page, n, digest, payload if payloads else None
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row for each record of the archive files under ``path``, in RECORD's columns."""
+def _records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     types = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
@@ -109,7 +108,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 300], strict=True), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
-    return save(files.mapInArrow(run, RECORD), "warc-records")
+    return files.mapInArrow(run, RECORD)
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row for each record of the archive files under ``path``, in RECORD's columns."""
+    return save(_records(spark, path, payloads), "warc-records")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, payloads: bool = True) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as archives under ``path`` (a fresh one in the shared folder if none is given), read them back and assemble.
+    """Write ``pages`` (page_id, url, html) as archives under ``path`` (a fresh one in the shared folder if none is given), read them back and assemble; the archives are read as often as the result is.
 
     Null html is an empty payload, a null url an empty target, a null page_id null again. Very long payloads are one
     record. Repeated rows give repeated captures. Further columns are ignored. No rows give no rows.
@@ -134,14 +138,16 @@ def archive_pages(pages: DataFrame, path: str | None = None, payloads: bool = Tr
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path)
-    return assemble(read_archives(spark, path, payloads))
+    return assemble(_records(spark, path, payloads))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = save(archive_pages(table(spark, sf_dir, "pages"), payloads=False).select(F.col("metadata.page_id").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("target"), "record_id"), "warc-captures")
+    """Length and digest are those of the assembled payload; of a revisit, those of the response that it refers to."""
+    payload = F.col("capture.payload")
+    rows = save(archive_pages(table(spark, sf_dir, "pages")).select(F.col("metadata.page_id").alias("page_id"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"), F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("target"), "record_id"), "warc-captures")
     wanted = rows.select(F.col("target").alias("wanted")).where("wanted is not null").distinct()
-    named = rows.join(wanted, F.col("record_id") == F.col("wanted"), "left_semi").groupBy("record_id").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record_id", "of")
-    return rows.join(named, F.col("target") == F.col("of"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    named = rows.join(wanted, F.col("record_id") == F.col("wanted"), "left_semi").groupBy(F.col("record_id").alias("of")).agg(F.max("page_id").alias("refers_to"), F.max("bytes").alias("of_bytes"), F.max("digest").alias("of_digest"))
+    return rows.join(named, F.col("target") == F.col("of"), "left").select("page_id", F.coalesce("bytes", "of_bytes").alias("payload_bytes"), F.coalesce("digest", "of_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL = """
