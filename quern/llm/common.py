@@ -5,13 +5,16 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+#: Paths of intermediate tables that are still there, in the order they were made.
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, one of this machine."""
+    """The folder that all executors share (spark.checkpoint.dir); where it is unset and all runs on this machine, as in tests, one of its own. On a cluster without that setting it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN_DIRS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quern-"))
     return base.rstrip("/")
@@ -33,6 +38,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _MADE.append(path)
     return path
 
 
@@ -69,14 +75,54 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def save_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """save(), and the number of rows, counted while they are written."""
+    rows = Observation()
+    out = save(df.observe(rows, F.count(F.lit(1)).alias("n")), tag)
+    return out, rows.get.get("n", 0)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def drop_saved(*frames: DataFrame | None) -> None:
     """Remove tables of save() that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_quern_path", None)
         if path:
-            spark = df.sparkSession
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _remove(df.sparkSession, path)
+
+
+def save_alone(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """save() what ``make`` returns, then remove all intermediate tables that it has left: for the steps of a long job."""
+    before = set(_MADE)
+    out = save(make(), tag)
+    for path in [p for p in _MADE if p not in before and p != out._quern_path]:
+        _remove(out.sparkSession, path)
+    return out
+
+
+#: A key counts as hot from 1 / HOT_SHARE of all rows on: there are HOT_SHARE such keys at most, whatever the table.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, one_each: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one_each`` (one row for each key) on ``key``, however many rows share a key.
+
+    ``size`` is a column of ``one_each``: how many of the ``total`` rows have this key, at least. Keys with at least
+    1 / HOT_SHARE of all rows, of which there are HOT_SHARE at most, are broadcast, so that their rows stay where they
+    are; the others go by exchange, and none of them fills a task. ``how``: inner or left; rows with a null key match
+    nothing and take no part in the exchange.
+    """
+    hot = one_each.where((F.col(size) * HOT_SHARE >= total) & F.col(key).isNotNull())
+    cold = one_each.where(F.col(size) * HOT_SHARE < total)
+    keyed = rows.where(F.col(key).isNotNull())
+    out = keyed.join(F.broadcast(hot), key).unionByName(keyed.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 
 def sha256_hex(text: Column) -> Column:

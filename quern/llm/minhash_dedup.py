@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, give_back, probably_in, save, table
+from .common import drop_saved, give_back, join_hot, probably_in, save, save_counted, table
 from .components import connected_components
 from .textscan import shingle_sets
 
@@ -21,6 +21,8 @@ BANDS, ROWS = 25, 5
 SIGMAS = 5.0
 #: Buckets and families of more members are dealt into blocks, which are compared in pairs.
 BLOCK = 256
+#: Sets of so few shingles, in which one collision of hashes could make a link, are known by two independent hashes.
+FEW = 64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -75,9 +77,13 @@ def _sketch_batches(k: int):
             n, digests, regs = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"])
+            few = [i for i, size in enumerate(n) if 0 < size <= FEW]
+            for i, s in zip(few, shingle_sets(batch.column(1).take(pa.array(few, pa.int64())), k, seed=1), strict=True):
+                digests[i].update(s.tobytes())
+            digests = [d and d.digest() for d in digests]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "text_hash", "n", "digest", "regs"])
         give_back()
 
     return run
@@ -174,7 +180,8 @@ def _exact_blocks(k: int, num: int, den: int):
     """Rows family, i, j, rep, blk, text: links the members of a family's two blocks by their full sets."""
 
     def make(batch: pa.RecordBatch) -> list:
-        return list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(5), k), strict=True))
+        # hashes of their own: a collision that made the candidates doesn't make the link
+        return list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(5), k, seed=1), strict=True))
 
     def compare(name: tuple, rows: list) -> tuple[np.ndarray, np.ndarray]:
         ids, blk = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -218,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     den * |A and B| >= num * |A or B| are linked, component_id is the smallest id reachable by links.
 
     1. One pass over the texts makes each document's set digest and SetSketch registers.
-    2. Documents with equal sets are one class, known by its smallest id (aggregate, combined map-side).
+    2. Documents with equal sets are one class, with a number (aggregate, combined map-side).
     3. Bands of register values key the classes. In each bucket all members are paired with one hub, the member
        that shares buckets with most others; pairs whose joint likelihood estimate is not far below the threshold
        are plausible, and components over these are families.
@@ -227,47 +234,63 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     5. Each family's members are compared on their full sets, in blocks, so that a text moves once for each pair of
        blocks that it is in (once in all, for families up to BLOCK members). What these links connect is the result.
 
-    Null or empty texts, and texts without words, have no shingles and link with nothing. A null id links with
-    nothing and keeps its row (component_id null, kept true). Repeated rows stay repeated; of rows that repeat an
-    id with other texts, any one stands for that id's links. Other columns are ignored. No rows give no rows.
+    Joins on keys that many rows may share (bands, hubs, families, copies) go through join_hot(). Sets are compared on
+    64-bit hashes: candidates on one, links on another one that is independent of it.
+
+    Two more columns tell rows with one id apart: text_hash (xxhash64 of the text) and group_id (equal for linked
+    rows, null without shingles). Null or empty texts, and texts without words, have no shingles and link with
+    nothing. A null id links with nothing and keeps its row (component_id null, kept true). Repeated rows stay
+    repeated; rows that repeat an id with other texts are documents of their own under that id. Other columns are
+    ignored. No rows give no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = save(own.mapInArrow(_sketch_batches(k), "id long, n long, digest binary, regs binary"), "near-sketches")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sig = save(own.mapInArrow(_sketch_batches(k), "id long, text_hash long, n long, digest binary, regs binary"), "near-sketches")
     named = sig.where("id is not null and n > 0")
-    classes = save(named.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("regs", "id").alias("regs"), F.first("n").alias("n")), "near-classes")
+    grouped = named.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min_by("regs", "id").alias("regs"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = save(grouped.withColumn("rep", F.monotonically_increasing_id()), "near-classes")
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BANDS)])
     bands = classes.select("rep", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = save(bands.join(shared, "key"), "near-members")
+    shared = save(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-keys")
+    held = shared.agg(F.sum("size")).first()[0] or 0
+    members = save(join_hot(bands, shared, "key", "size", held), "near-members")
     central = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    hubs = members.join(central, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
-    pairs = members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    side = lambda x: classes.select(F.col("rep").alias(f"rep_{x}"), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
-    wide = pairs.join(side("b"), F.col("b") == F.col("rep_b")).join(side("a"), F.col("a") == F.col("rep_a")).select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
+    best = F.max(F.struct("weight", (-F.col("rep")).alias("neg"), "size")).alias("top")
+    hubs = save(members.join(central, "rep").groupBy("key").agg(best).select("key", (-F.col("top.neg")).alias("hub"), F.col("top.size").alias("size")), "near-hubs")
+    met = join_hot(members.drop("size"), hubs, "key", "size", held).where("rep <> hub")
+    pairs, found = save_counted(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "near-pairs")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
+    of_hub = pairs.groupBy("b").agg(F.count("*").alias("times")).join(side("b"), "b")
+    wide = join_hot(pairs, of_hub, "b", "times", found).join(side("a"), "a").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
     starred = save(wide.mapInArrow(_estimated(num, den), "a long, b long"), "near-starred")
+    drop_saved(hubs, pairs)
 
     families = connected_components(starred)
     placed = save(members.join(families, F.col("rep") == F.col("id"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("family")), "near-placed")
-    split = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key").join(classes.select("rep", "regs", "n"), "rep")
+    split = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("key", "times")
+    rest = join_hot(placed, split, "key", "times", held).join(classes.select("rep", "regs", "n"), "rep")
     blocks = _in_blocks(rest, "key", "rep").select("key", "i", "j", "rep", "family", "n", "blk", "regs")
     more = save(blocks.mapInArrow(_plausible_blocks(num, den), "a long, b long"), "near-more")
     families = save(connected_components(starred.union(more)).select(F.col("id").alias("rep"), F.col("component").alias("family")), "near-families")
-    drop_saved(members, placed, starred, more)
+    drop_saved(shared, members, placed, starred, more)
 
-    sizes = families.groupBy("family").agg(F.count("*").alias("size")).withColumnRenamed("family", "of")
-    sized = families.join(sizes, F.col("family") == F.col("of")).select("rep", "family", "size")
-    texts = probably_in(own, "id", families.select("rep")).join(sized, F.col("id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "family", "size", "text")
+    sizes, members_held = families.groupBy("family").agg(F.count("*").alias("size")), families.count()
+    sized = join_hot(families, sizes, "family", "size", members_held)
+    wanted = sized.join(classes.select("rep", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")), "rep")
+    texts = probably_in(own, "id", wanted.select("id")).join(wanted, ["id", "text_hash"]).dropDuplicates(["rep"]).select("rep", "family", "size", "text")
     full = _in_blocks(texts, "family", "rep").select("family", "i", "j", "rep", "blk", "text")
     links = save(full.mapInArrow(_exact_blocks(k, num, den), "a long, b long"), "near-links")
     comps = connected_components(links)
-    by_class = save(classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "near-components")
-    drop_saved(classes, families, links)
-    mine = sig.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
-    out = mine.join(by_class, "digest", "left").withColumn("component_id", F.coalesce("component_id", F.col(id_col)))
-    return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)).alias("kept"))
+    grouped = save(classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", "copies", "first.id", F.coalesce("component", "rep").alias("group_id")), "near-groups")
+    least = grouped.groupBy("group_id").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    by_class = save(join_hot(grouped, least, "group_id", "size", grouped.count()).select("digest", "copies", "group_id", "component_id"), "near-components")
+    drop_saved(classes, families, links, grouped)
+    mine = sig.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
+    total = by_class.agg(F.sum("copies")).first()[0] or 0
+    out = join_hot(mine, by_class, "digest", "copies", total, "left").withColumn("component_id", F.coalesce("component_id", F.col(id_col)))
+    kept = F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True))
+    return out.select(id_col, "n_shingles", "component_id", kept.alias("kept"), "text_hash", "group_id")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_saved, give_back, save, table
-from .textscan import _BASE, _BASE_INV, blocks, mix, powers
+from .textscan import blocks, span_hashes
 
 #: Word vectors: hashed vocabulary, dimensions, non-zero places of an index vector, neighbours on each side. Their size is WORDS * DIMS * 4 bytes, whatever the corpus.
 WORDS, DIMS, PLACES, REACH = 1 << 15, 32, 4, 2
@@ -50,10 +50,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = at[:-1], at[1:]
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((_DIGIT[buf].astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[:n], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * powers(_BASE_INV, n)[starts])
+    h = span_hashes(_DIGIT[buf], starts, ends)
     return (h % np.uint64(WORDS)).astype(np.int64), np.searchsorted(starts, offs).astype(np.int64)
 
 
@@ -202,24 +199,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return QualityModel(vectors, weight, *fit_network(x, np.array([r[1] for r in got], dtype=np.float64)))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``, all by default) with score: the calibrated probability of good quality, from the text alone.
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score", write: bool = True) -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with ``score_col``: the calibrated probability of good quality, from the text alone.
 
     Null and empty texts count as texts without words and get the score that the network gives these. Very long texts
-    are read whole. Repeated rows and other columns stay (a column named score is replaced). No rows give no rows.
+    are read whole. Repeated rows and other columns stay (a column of that name is replaced). No rows give no rows.
+    The result is a table of its own, unless ``write`` is false: then it is computed by whoever reads it.
     """
-    keep = [c for c in keep or docs.columns if c != "score"]
+    keep = [c for c in keep or docs.columns if c != score_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = shared.value.score(shared.value.features(batch.column("__text")).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p, pa.float64())], [*keep, score_col])
         give_back()
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep], "score double"])
-    return save(inner.mapInArrow(run, schema), "quality-scores")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep], f"`{score_col}` double"])
+    scored = inner.mapInArrow(run, schema)
+    return save(scored, "quality-scores") if write else scored
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

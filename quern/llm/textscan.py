@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,23 +14,13 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept for the block size that most blocks have."""
-    got = _powers.get(base)
-    if got is None or len(got) < n + 1:
-        got = np.empty(n + 1, dtype=np.uint64)
-        got[0] = 1
-        got[1:] = np.uint64(base)
-        np.multiply.accumulate(got, out=got)
-        if n <= 1 << 22:
-            _powers[base] = got
-    return got
+#: Start values of independent hashes.
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Keeps the first n bytes of a little-endian word of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,7 +49,28 @@ def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[
             i = j
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes of spans: eight bytes at a time, each step mixed in full, so that no pattern within a word cancels out; long spans by BLAKE2."""
+    padded = np.empty(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    padded[len(buf) :] = 0
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * _STEP + _SEEDS[seed])
+    left = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(left):
+        left = left[size[left] > done]
+        lane = eight[starts[left] + done] & _FIRST[np.minimum(size[left] - done, 8)]
+        h[left] = mix((h[left] ^ lane) * _STEP + _SEEDS[seed])
+        done += 8
+    key = int(_SEEDS[seed]).to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].data, digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def word_hashes(buf: np.ndarray, offs: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of other than white space, A-Z lower-cased) and, for each row, where its words begin; one entry more at the end."""
     n = len(buf)
     if not n:
@@ -74,21 +86,17 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[-1] = True
     after[:-1] = ~inside[1:]
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((LOWER[buf].astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_BASE_INV, n)[starts]
-    return mix(h), np.searchsorted(starts, offs).astype(np.int64)
+    return span_hashes(LOWER[buf], starts, ends, seed), np.searchsorted(starts, offs).astype(np.int64)
 
 
-def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct 64-bit hashes of its k-word shingles; of the whole sequence if it has fewer words; none without words."""
+def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """For each row the sorted distinct 64-bit hashes of its k-word shingles; of the whole sequence if it has fewer words; none without words. Different seeds give independent hashes."""
     for i, j, buf, offs in blocks(texts):
-        words, at = word_hashes(buf, offs)
+        words, at = word_hashes(buf, offs, seed)
         m = max(0, len(words) - k + 1)
         grams = np.zeros(m, dtype=np.uint64)
         for t in range(k):
-            grams = grams * _STEP + words[t : t + m]
+            grams = (grams ^ (grams >> np.uint64(29))) * _STEP + words[t : t + m]
         grams = mix(grams)
         for r in range(j - i):
             a, b = at[r], at[r + 1]
@@ -97,7 +105,7 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[np.ndarr
             elif b > a:
                 h = np.zeros(1, dtype=np.uint64)
                 for w in words[a:b]:
-                    h = h * _STEP + w
+                    h = (h ^ (h >> np.uint64(29))) * _STEP + w
                 yield mix(h + np.uint64(b - a))
             else:
                 yield np.empty(0, dtype=np.uint64)

@@ -2,9 +2,14 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from quern.llm.common import join_hot
 from quern.llm.components import connected_components
-from quern.llm.minhash_dedup import near_duplicates
+from quern.llm.minhash_dedup import near_duplicates, op3_minhash_dedup
+from quern.llm.textscan import shingle_sets
 
 
 def brute(rows, k, num, den):
@@ -65,6 +70,49 @@ def test_large_bucket_without_a_common_hub(spark):
     assert got == brute(rows, 3, 85, 100)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_cancel_out_in_a_polynomial(spark):
+    """Two words without a place in common; their sets share nothing."""
+    rows = [(1, "x " + thue_morse(1024, "a", "b") + " y"), (2, "x " + thue_morse(1024, "b", "a") + " y"), (3, thue_morse(64, "a", "b")), (4, thue_morse(64, "b", "a")), (5, thue_morse(2048, "a", "b")), (6, thue_morse(2048, "b", "a"))]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i, True) for i in range(1, 7)}
+
+
+def test_word_hashes_differ_by_seed_and_by_every_byte():
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("ab") for _ in range(n)) for n in list(range(1, 70)) * 30})
+    both = [list(shingle_sets(pa.array(words), 1, seed=s)) for s in (0, 1)]
+    flat = [np.concatenate(x) for x in both]
+    assert all(len(np.unique(x)) == len(words) for x in flat) and not np.intersect1d(*flat).size
+
+
+def test_one_id_with_other_texts(spark):
+    """Each text has its own links; the ids they share are the same."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, two), (5, one + " z"), (7, two + " z"), (9, "c d e f g")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (1, 1, True), (5, 1, False), (7, 1, False), (9, 9, True)]
+
+
+def test_query_parameters(spark, tmp_path):
+    rows = corpus(120, 9)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_minhash_dedup(spark, str(tmp_path)).collect()}
+    assert got == brute(rows, 3, 85, 100)
+
+
+def test_hot_keys_join_without_an_exchange_of_their_rows(spark):
+    rows = spark.createDataFrame([(i, 7 if i < 900 else i % 40 if i < 990 else None) for i in range(1000)], "i long, k long")
+    for how in ("inner", "left"):
+        one = rows.where("k is not null and k <> 3").groupBy("k").agg(F.count("*").alias("size")).withColumn("v", F.col("k") * 2)
+        want = rows.join(one, "k", how).select("i", "k", "v").collect()
+        got = join_hot(rows, one, "k", "size", 1000, how).select("i", "k", "v").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_nulls_repeats_extra_columns_and_empty_table(spark):
     rows = [(None, "a b c d", 1, 2), (1, "a b c d", 3, 4), (1, "a b c d", 3, 4), (2, "a b c d", 5, 6), (None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, digest long, component_id long")
@@ -79,6 +127,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, **{i: 200 for i in range(200, 240)}}
 
 
+@pytest.mark.parametrize("n,ids", [(3000, "sorted"), (3000, "shuffled")])
+def test_rounds_of_a_long_chain(spark, n, ids):
+    name = list(range(n + 1))
+    if ids == "shuffled":
+        random.Random(3).shuffle(name)
+    df = spark.createDataFrame([(name[i], name[i + 1]) for i in range(n)], "a long, b long")
+    out = connected_components(df)
+    assert out._quern_rounds <= 10
+    assert out.where("component = 0").count() == out.count() == n + 1
+
+
+def test_rounds_of_stars(spark):
+    edges = [(0, 10_000 + i) for i in range(500)] + [(99_999, 20_000 + i) for i in range(500)] + [(99_999, 10_000)]
+    out = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert out._quern_rounds <= 3 and {r.component for r in out.collect()} == {0} and out.count() == 1002
+
+
 def test_blocks(spark, monkeypatch):
     """Families over several blocks, with a hub that few are alike to."""
     import quern.llm.minhash_dedup as md
