@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save, save_counted
+from .common import drop_saved, join_hot, save, save_counted
 
 
 def _roots(step: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the roots. A root has at least as many neighbours as any neighbour of it, and roots are never neighbours; giving
     each root's unit to its neighbours in equal parts, no other node gets more than one unit. So at most half of the
     nodes are roots, and the rounds are at most the logarithm of the nodes: for a star one, for a chain in any order
-    of its ids about log3. Each round's tables are written to the shared folder, so that lineage stays short.
+    of its ids about log3. Hubs and large components are joined by join_hot(). Each round's tables are written to the shared folder, so that lineage stays short.
 
     Edges with a null end are ignored; loops and repeated edges change nothing; ids that only have loops are not
     returned (each is its own component). No edges give no rows.
@@ -37,30 +37,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     rest, left = save_counted(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     labels: DataFrame | None = None
-    rounds = 0
+    rounds = nodes = 0
     while left:
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda n, x: F.struct(F.col(n).alias("n"), F.xxhash64(F.lit(rounds), x).alias("h"), F.col(x).alias("id"))  # noqa: B023, E731
         degree = both.groupBy("a").agg(F.count("*").alias("n"))
-        of_b = degree.select(F.col("a").alias("of"), F.col("n").alias("n_b"))
-        best = both.join(of_b, F.col("b") == F.col("of")).groupBy("a").agg(F.count("*").alias("n_a"), F.max(rank("n_b", "b")).alias("top"))
+        best = join_hot(both, degree.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b", "n_b", 2 * left).groupBy("a").agg(F.count("*").alias("n_a"), F.max(rank("n_b", "b")).alias("top"))
         step = save(best.select(F.col("a").alias("id"), F.greatest("top", rank("n_a", "a"))["id"].alias("up")), "cc-step")
         jump = _roots(step)
         left_up, right_up = (jump.select(F.col("id").alias(f"i{x}"), F.col("up").alias(x)) for x in ("na", "nb"))
         moved = rest.join(left_up, F.col("a") == F.col("ina")).join(right_up, F.col("b") == F.col("inb")).where("na <> nb")
         shorter, left = save_counted(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "cc-edges")
         if labels is None:
-            grown = save(jump.select("id", F.col("up").alias("root")), "cc-labels")
+            grown, nodes = save_counted(jump.select("id", F.col("up").alias("root")), "cc-labels")
         else:
-            next_up = jump.select(F.col("id").alias("was"), "up")
-            grown = save(labels.join(next_up, F.col("root") == F.col("was"), "left").select("id", F.coalesce("up", "root").alias("root")), "cc-labels")
+            held = labels.groupBy("root").agg(F.count("*").alias("held"))
+            next_up = save(held.join(jump.select(F.col("id").alias("root"), "up"), "root", "left"), "cc-next")
+            grown = save(join_hot(labels, next_up, "root", "held", nodes).select("id", F.coalesce("up", "root").alias("root")), "cc-labels")
+            drop_saved(next_up)
         drop_saved(rest, jump, labels)
         rest, labels = shorter, grown
         rounds += 1
     if labels is None:
         return rest.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    least = labels.groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "of")
-    out = save(labels.join(least, F.col("root") == F.col("of")).select("id", "component"), "cc-components")
+    least = labels.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("held"))
+    out = save(join_hot(labels, least, "root", "held", nodes).select("id", "component"), "cc-components")
     drop_saved(rest, labels)
     out._quern_rounds = rounds
     return out
