@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import operator
 import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -162,6 +164,21 @@ def find_spans(text: Column, pattern: str, gate: Column | None = None, block: in
     return F.when(hit, let(both, placed)).otherwise(F.array().cast(SPAN))
 
 
+#: Characters of a block of text_blocks().
+TEXT_BLOCK = 4096
+
+
+def text_blocks(text: Column) -> Column:
+    """A text in blocks of TEXT_BLOCK code points, out of which piece() cuts without walking the whole text each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of the text that ``blocks`` hold."""
+    first, last = F.floor(start / TEXT_BLOCK).cast("int"), F.floor(end / TEXT_BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * TEXT_BLOCK + 1, end - start)
+
+
 def joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
@@ -171,8 +188,22 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def meets(span: Column, spans: Column) -> Column:
+    """Whether ``span`` overlaps one of ``spans``, which are sorted by start and don't overlap each other: a binary search for the last that starts before its end."""
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = (acc["lo"] < acc["hi"]) & (F.get(spans, mid)["start"] < span["end"])
+        return F.named_struct(F.lit("lo"), F.when(before, mid + 1).otherwise(acc["lo"]), F.lit("hi"), F.when(before | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid))
+
+    zero = F.named_struct(F.lit("lo"), F.lit(0), F.lit("hi"), F.size(spans))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    last = F.aggregate(steps, zero, halve, lambda acc: acc["lo"]) - 1
+    return (F.size(spans) > 0) & F.coalesce(F.when(last >= 0, F.get(spans, F.greatest(last, F.lit(0)))["end"] > span["start"]), F.lit(False))
+
+
+def apart(spans: Column, *others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others`` (each an array as meets() takes it)."""
+    return F.filter(spans, lambda s: ~reduce(operator.or_, [meets(s, other) for other in others]))
 
 
 #: Bits of the id filter below: its table has at most MARK_BITS / 32768 rows of 4 KB, 8 MB in all, whatever it is made from.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find_spans, joined, let, listed, overlaps, sha256_hex, table
+from .common import apart, find_spans, joined, let, listed, sha256_hex, table
 
 #: Fixed by the contract.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -98,7 +98,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     order = lambda x: F.transform(F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     base = order(F.concat(*[joined(k, F.col(f"__{k}")) for k in KINDS[:3]]))
     found = found.withColumn("base_spans", base)
-    added = F.filter(joined("entropy", F.col("__entropy")), lambda s: ~F.exists("base_spans", lambda b: overlaps(s, b)))
+    added = joined("entropy", apart(F.col("__entropy"), *[F.col(f"__{k}") for k in KINDS[:3]]))
     return found.withColumn("secret_spans", order(F.concat("base_spans", added))).drop(*[f"__{k}" for k in KINDS])
 
 

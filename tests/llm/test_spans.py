@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 from quern.llm import pii, secret_scan
-from quern.llm.common import listed
+from quern.llm.common import apart, listed
 
 
 def luhn(d):
@@ -93,6 +93,93 @@ def test_weak_supervision(spark):
     assert pii.find_pii(df.where("doc_id < 0")).collect() == []
 
 
+def planted(seed, n=400):
+    """Texts with one span each that base patterns don't find, and decoys: (text, kind or None, start, end)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    sure = {
+        "name": lambda: (rng.choice(["Dear ", "signed, ", "contact: ", "Herr ", "Liebe ", "estimada "]), f"{rng.choice(pii.FIRST_NAMES)} {word().title()}"),
+        "address": lambda: (rng.choice(["address: ", "we live at ", "Anschrift: ", "elle habite "]), rng.choice([f"{rng.randrange(1, 999)} {word().title()} Street", f"{word().title()}straße {rng.randrange(1, 99)}", f"{rng.randrange(1, 99)} rue de {word().title()}", f"Calle {word().title()} {rng.randrange(1, 99)}"])),
+        "loose_phone": lambda: (rng.choice(["phone ", "call ", "Telefon ", "tel. "]), f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"),
+        "loose_email": lambda: (rng.choice(["mail ", "write to ", "kontakt "]), f"{word()} [at] {word()} [dot] com"),
+    }
+    decoys = [lambda: f"order {rng.randrange(10, 99)}-{rng.randrange(100, 999)}-{rng.randrange(100, 999)}", lambda: f"serial {rng.randrange(10**15, 10**16) // 10 * 10 + 1}", lambda: f"{word().title()} {word().title()}", lambda: f"version {rng.randrange(10, 99)}.{rng.randrange(100, 999)}.{rng.randrange(100, 999)}", lambda: f"in {rng.randrange(1900, 2020)} {word().title()}"]
+    out = []
+    for i in range(n):
+        head, tail = prose(rng.randrange(3, 20)), prose(rng.randrange(3, 20))
+        if i % 2:
+            out.append((f"{head} {rng.choice(decoys)()} {tail}", None, 0, 0))
+        else:
+            kind = rng.choice(sorted(sure))
+            lead, span = sure[kind]()
+            at = len(head) + 1 + len(lead)
+            out.append((f"{head} {lead}{span}, {tail}", kind, at, at + len(span)))
+    return out
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    rows = planted(21)
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    hits = wrong = 0
+    for i, (_, kind, start, end) in enumerate(rows):
+        base = {(s["start"], s["end"], s["kind"]) for s in got[i].base_spans}
+        added = {(s["start"], s["end"], s["kind"]) for s in got[i].pii_spans} - base
+        found = {x for x in added if kind and x[2] == kind and x[0] <= start and x[1] == end}
+        hits += bool(found)
+        wrong += len(added - found)
+    real = sum(k is not None for _, k, _, _ in rows)
+    assert hits >= 0.9 * real and wrong <= 0.05 * real, (hits, wrong, real)
+
+
+def test_secrets_without_assignment(spark):
+    """Keys of several kinds in prose are found; identifiers, paths, words and counters are not."""
+    rng = random.Random(31)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    base64, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [lambda: draw(base64, 40), lambda: draw(lower, 32) + "7k", lambda: "sk-" + draw(base64[:62], 40), lambda: draw(base64[:62], 24) + "==", lambda: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)]
+    decoys = [lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "/usr/local/share/" + draw("abcdefgh", 8) + "/file-2024", lambda: draw("abcdefghijklm", 30), lambda: "some-long-slug-of-plain-words-" + draw("12", 2), lambda: "1" * 24, lambda: draw("ab1", 30), lambda: "0123456789" * 3]
+    rows = [(i, f"the {rng.choice(keys if i % 2 else decoys)()} end") for i in range(400)]
+    got = {r.doc_id: [s["kind"] for s in r.secret_spans if s["kind"] == "entropy"] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found, false = sum(bool(got[i]) for i in range(1, 400, 2)), sum(bool(got[i]) for i in range(0, 400, 2))
+    assert found >= 0.95 * 200 and false <= 0.02 * 200, (found, false)
+
+
+def test_very_many_spans_in_one_text(spark):
+    """50,000 base spans and as many candidates: no step is quadratic."""
+    n = 50_000
+    text = " ".join(f"a{i}@b.com call 555-{i % 900 + 100}-{i % 9000 + 1000}" for i in range(n))
+    secret = " ".join(f"token={i:08d} k9Xq2LmZ8vRt4WbY7nCe{i}" for i in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find_pii(df).select(F.size("base_spans").alias("n"), pii.redact(F.col("text"), F.col("pii_spans")).alias("t")).first()
+    assert row.n == n and row.t.count("[EMAIL]") == n
+    assert secret_scan.find_secrets(df.select("doc_id", F.lit(secret).alias("text"))).select(F.size("base_spans")).first()[0] == 5000
+
+
+def test_overlaps_by_binary_search(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randrange(0, 20)))
+        spans = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        asked = [(a, a + rng.randrange(1, 30)) for a in rng.sample(range(200), 10)]
+        rows.append((i, spans, asked))
+    df = spark.createDataFrame(rows, "i int, spans array<struct<start:int,end:int>>, asked array<struct<start:int,end:int>>")
+    for r in df.withColumn("left", apart(F.col("asked"), F.col("spans"))).collect():
+        assert r.left == [s for s in r.asked if not any(s.start < b.end and b.start < s.end for b in r.spans)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co token=abcdefgh", "x", "y", "z")], "doc_id long, text string, base_spans string, secret_spans string, pii_spans string")
+    assert set(secret_scan.find_secrets(df).columns) == set(pii.find_pii(df).columns) == set(df.columns)
+    assert listed_first(secret_scan.find_secrets(df), "secret_spans") == "assign:7:21" and listed_first(pii.find_pii(df), "pii_spans") == "email:0:6"
+
+
+def listed_first(df, column):
+    return df.select(listed(F.col(column)).alias("x")).first().x
+
+
 def test_redaction(spark):
     rows = [(1, "é a@b.co, +1 (269) 555-3296; 1.2.3.4", "k"), (2, None, None), (3, "clean", "k")]
     df = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, base_spans string"))
