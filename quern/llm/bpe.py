@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import give_back, save, table
+from .common import drop_saved, give_back, save, table
 
 #: Texts of more characters are halved until no part is longer.
 LEAF = 16_384
+#: Texts of more characters are dealt out over tasks, in parts of no more; so many neighbouring parts are joined at a time.
+SPLIT, FAN = 1 << 20, 8
 #: Characters given to the encoder at once, and tokens on each side of a join in its first window.
 AT_ONCE, FIRST_WINDOW = 1 << 19, 8
 
@@ -157,16 +159,20 @@ def vocabulary(path: str) -> Bpe:
     return _loaded[path]
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text", leaf: int = LEAF, decoded: bool = True, write: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids (array of int) and decoded (the text that the ids give back).
 
     Equal to the tokenizers library's encoding of each whole text with add_special_tokens=False, and its decoding
-    with skip_special_tokens=False. Null and empty texts have no tokens and decode to the empty text. Repeated rows
-    and other columns stay (columns of these three names are replaced); each row is worked on alone, without
-    exchange, and its result is written once to the shared folder. No rows give no rows.
+    with skip_special_tokens=False. Texts of more than SPLIT characters are dealt out: their parts are rows of their
+    own, encoded by as many tasks, and joined FAN at a time until one is left. Null and empty texts have no tokens and
+    decode to the empty text. Repeated rows and other columns stay (columns of these three names are replaced). No
+    rows give no rows. The result is a table in the shared folder, unless ``write`` is false: then it is computed by
+    whoever reads it. Without ``decoded`` the column is left out, and that the ids give the text back is checked.
     """
     path = path or default_vocabulary()
-    return _mapped(docs, text_col, path, leaf, "n_tokens long, ids array<int>, decoded string", _ids)
+    if decoded:
+        return _mapped(docs, text_col, path, leaf, "n_tokens long, ids array<int>, decoded string", _ids, write)
+    return _mapped(docs, text_col, path, leaf, "n_tokens long, ids array<int>", _checked, write)
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
@@ -174,36 +180,123 @@ def bpe_digests(docs: DataFrame, path: str | None = None, text_col: str = "text"
     return _mapped(docs, text_col, path or default_vocabulary(), leaf, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
 
 
-def _ids(ids: list[np.ndarray], decoded: list[str]) -> list[pa.Array]:
+def _ids(bpe: Bpe, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
+    return [*_only_ids(ids), pa.array([bpe.decode(x) for x in ids], pa.string())]
+
+
+def _only_ids(ids: list[np.ndarray]) -> list[pa.Array]:
     flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)
     offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return [pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array(decoded, pa.string())]
+    return [pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
+
+
+def _checked(bpe: Bpe, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
+    for text, own in zip(texts, ids, strict=True):
+        if bpe.decode(own) != text:
+            raise ValueError(f"a text of {len(text)} characters doesn't come back from its {len(own)} ids")
+    return _only_ids(ids)
 
 
-def _digests(ids: list[np.ndarray], decoded: list[str]) -> list[pa.Array]:
+def _digests(bpe: Bpe, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
     return [
         pa.array([len(x) for x in ids], pa.int64()),
         pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-        pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
+        pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
     ]
 
 
-def _mapped(docs: DataFrame, text_col: str, path: str, leaf: int, added: str, make) -> DataFrame:
+def _parts(path: str):
+    """Rows row, text: the parts of each text, numbered; none is longer than SPLIT, none cuts a special token."""
+    limit = SPLIT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            for row, value in zip(batch.column(0), batch.column(1), strict=True):
+                text = value.as_py()
+                ends = bpe.cuts(text, 0, len(text), limit)
+                for i, (x, y) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([i], pa.int64()), pa.array([text[x:y]], pa.string())], ["row", "part", "text"])
+
+    return run
+
+
+def _leaves(path: str, leaf: int):
+    """Rows row, part, text: each part's bytes and ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            for row, part, value in zip(*(batch.column(c) for c in range(3)), strict=True):
+                text = value.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([part.as_py()], pa.int64()), pa.array([text.encode()], pa.binary()), pa.array([bpe.tree(text, leaf).tobytes()], pa.binary())], ["row", "part", "bytes", "ids"])
+        give_back()
+
+    return run
+
+
+def _joins(path: str):
+    """Rows row, up, part, bytes, ids, those of a (row, up) standing together in order: one row for each, joined pair by pair."""
+    def joined(bpe: Bpe, row: int, up: int, nodes: list) -> pa.RecordBatch:
+        while len(nodes) > 1:
+            pairs = [bpe.join(nodes[i], nodes[i + 1]) for i in range(0, len(nodes) - 1, 2)]
+            nodes = pairs + nodes[len(nodes) - len(nodes) % 2 :]
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([up], pa.int64()), pa.array([nodes[0][0]], pa.binary()), pa.array([nodes[0][1].tobytes()], pa.binary())], ["row", "part", "bytes", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, last, held = vocabulary(path), None, []
+        for batch in batches:
+            for row, up, text, ids in zip(*(batch.column(c) for c in (0, 1, 3, 4)), strict=True):
+                name = (row.as_py(), up.as_py())
+                if held and name != last:
+                    yield joined(bpe, *last, held)
+                    held = []
+                last = name
+                held.append((text.as_py(), np.frombuffer(ids.as_py(), dtype=np.uint32)))
+        if held:
+            yield joined(bpe, *last, held)
+        give_back()
+
+    return run
+
+
+def _long_ids(long: DataFrame, path: str, leaf: int) -> DataFrame:
+    """(row, ids as bytes) of long texts (row, __text): parts across tasks, then joins of FAN neighbours, level by level, each level written."""
+    spark = long.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = long.select("row", "__text").mapInArrow(_parts(path), "row long, part long, text string")
+    level = save(parts.repartition(tasks, "row", "part").mapInArrow(_leaves(path, leaf), "row long, part long, bytes binary, ids binary"), "bpe-level")
+    while level.where("part > 0").limit(1).count():
+        above = level.select("row", F.floor(F.col("part") / FAN).alias("up"), "part", "bytes", "ids")
+        grouped = above.repartition(tasks, "row", "up").sortWithinPartitions("row", "up", "part")
+        level, below = save(grouped.mapInArrow(_joins(path), "row long, part long, bytes binary, ids binary"), "bpe-level"), level
+        drop_saved(below)
+    return level.select("row", F.col("ids").alias("__ids"))
+
+
+def _mapped(docs: DataFrame, text_col: str, path: str, leaf: int, added: str, make, write: bool = True) -> DataFrame:
     new = [x.split()[0] for x in added.split(", ")]
     docs = docs.select(*[c for c in docs.columns if c not in new or c == text_col])
     keep = [c for c in docs.columns if c not in new]
-    inner = docs.withColumn("__text", F.col(text_col).cast("string"))
+    inner = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            ids = bpe.encode(texts, leaf)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *make(ids, [bpe.decode(x) for x in ids])], [*keep, *new])
+            texts = batch.column("__text").to_pylist()
+            if "__ids" in batch.schema.names:
+                ids = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("__ids").to_pylist()]
+            else:
+                ids = bpe.encode(texts, leaf)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *make(bpe, texts, ids)], [*keep, *new])
         give_back()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep], added])
-    return save(inner.mapInArrow(run, schema), "bpe")
+    out = inner.where(F.length("__text") <= SPLIT).mapInArrow(run, schema)
+    long = save(inner.where(F.length("__text") > SPLIT).withColumn("__row", F.monotonically_increasing_id()), "bpe-long")
+    if long.limit(1).count():
+        ids = _long_ids(long.select(F.col("__row").alias("row"), "__text"), path, leaf).withColumnRenamed("row", "__row")
+        out = out.unionByName(long.join(ids, "__row").mapInArrow(run, schema))
+    return save(out, "bpe") if write else out
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,21 @@ def test_operator(spark, tmp_path):
         ids = lib.encode(rows[r.doc_id][1], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(rows[r.doc_id][1].encode()).hexdigest())
     assert bpe_encode(df.where("doc_id > 1000")).collect() == []
+
+
+def test_long_texts_over_tasks(spark, monkeypatch):
+    """Texts dealt out in parts and joined in levels; other columns, repeats and short texts as ever."""
+    from quern.llm import bpe
+
+    monkeypatch.setattr(bpe, "SPLIT", 50)
+    monkeypatch.setattr(bpe, "FAN", 2)
+    lib = Tokenizer.from_file(default_vocabulary())
+    some = [t for t in texts() if len(t) > 300][:12] + texts()[-8:]
+    rows = [(i, t, "r") for i, t in enumerate(some)] + [(500, "short", None), (501, None, None), (502, some[0], "again"), (502, some[0], "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = sorted(bpe_encode(df, leaf=16).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.text, r["row"]) for r in got] == rows
+    for r in got:
+        assert (r.ids, r.decoded) == (lib.encode(r.text or "", add_special_tokens=False).ids, r.text or "")
+    plain = sorted(bpe_encode(df, leaf=16, decoded=False, write=False).collect(), key=lambda r: r.doc_id)
+    assert [r.ids for r in plain] == [r.ids for r in got] and "decoded" not in plain[0].asDict()
