@@ -14,20 +14,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACED, WORD
-from .parsers import Piece, code_chunks, count, dependencies, html_chunks, json_chunks, log_chunks, mixed_chunks
+from .parsers import Piece, code_chunks, count, dependencies, html_chunks, json_chunks, log_chunks, mixed_chunks, shell_pieces
 from .score import BUCKETS, HEAD
-from .segment import PROMPT
 
 #: What a call's chunks look like as a column; ``closure`` holds the places of a chunk and of all it depends on, ``whole`` is false for JSON that a split has broken.
 CHUNKS = "array<struct<id:string,content:string,chunk_type:string,token_count:int,start_pos:int,closure:array<int>,whole:boolean,score:double>>"
 _TYPE = pa.list_(pa.struct([("id", pa.string()), ("content", pa.string()), ("chunk_type", pa.string()), ("token_count", pa.int32()), ("start_pos", pa.int32()), ("closure", pa.list_(pa.int32())), ("whole", pa.bool_()), ("score", pa.float64())]))
 
 CSV_WINDOW, CSV_SAMPLE, CSV_VALUES = 50, 100, (2, 20)
-SHELL_LINES = 3
 SECTION_SMALL, SECTION_LARGE = 20, 400
 MOST_CHUNKS, LEAST_WINDOW = 2000, 200
 
-_PROMPT = re.compile(PROMPT)
 _HEADING, _FENCE = re.compile(r"#{1,6} \S"), re.compile(r"\s*(?:```|~~~)")
 _SPACED = re.compile(SPACED)
 _WORD = re.compile(WORD.replace(r"\p{Nd}", r"\d"))
@@ -53,31 +50,6 @@ def csv_pieces(text: str) -> list[Piece]:
     return [("\n".join([head, *p]), "rows", i, None, []) for i, p in enumerate(parts)]
 
 
-def shell_pieces(text: str) -> list[Piece]:
-    """Commands with their output; those without any, and what stands before the first prompt, are dropped. Without prompts, paragraphs of three lines or more."""
-    out: list[Piece] = []
-    block: list[str] = []
-    at = start = 0
-    prompts = False
-    for line in [*text.split("\n"), "$ "]:
-        if _PROMPT.match(line):
-            if len(block) > 1:
-                out.append(("\n".join(block), "command", start, None, []))
-            prompts |= at <= len(text)
-            block, start = [line], at
-        elif block:
-            block.append(line)
-        at += len(line) + 1
-    if prompts:
-        return out
-    at = 0
-    for part in text.split("\n\n"):
-        if part.strip() and part.count("\n") + 1 >= SHELL_LINES:
-            out.append((part, "paragraph", at, None, []))
-        at += len(part) + 2
-    return out
-
-
 def markdown_pieces(text: str) -> list[Piece]:
     """Sections by headings outside fences, what stands before the first included; a section joins the one before while that is small, and large ones are cut between paragraphs."""
     sections: list[list] = []

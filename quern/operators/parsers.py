@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
+from .segment import PROMPT
 
 CHUNK = "ord int, content string, chunk_type string, token_count int, start_pos int, name string, refs array<string>"
 #: (content, chunk_type, start_pos, name, refs)
@@ -81,12 +82,15 @@ HTML_LEAST = 50
 SECTIONS = ("article", "section", "main", "nav", "aside")
 SKIPPED = ("script", "style", "noscript")
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-#: Class prefixes of layout frameworks, which say nothing about content.
-LAYOUT = "col row container wrapper grid flex d- p- m- mt- mb- ml- mr- px- py- text- bg- btn w- h- justify- align- clearfix border- rounded".split()
+#: Class names of layout frameworks, which say nothing about content, nor do those that begin with one.
+LAYOUT = (
+    "container", "wrapper", "row", "col", "col-", "row-", "span", "grid", "flex", "d-", "p-", "m-", "mt-", "mb-", "ml-", "mr-",
+    "px-", "py-", "text-", "bg-", "border", "shadow", "rounded", "shadow-sm", "shadow-lg",
+)
 
 
 def meaningful(classes: str | None) -> bool:
-    return any(not any(c == p or c.startswith(p) for p in LAYOUT) for c in (classes or "").lower().split())
+    return any(not c.startswith(LAYOUT) for c in (classes or "").lower().split())
 
 
 class _Tree(HTMLParser):
@@ -273,9 +277,40 @@ def dependencies(pieces: list[Piece]) -> list[list[int]]:
     return [sorted({where[r] for r in p[4] if r in where and where[r] != i}) if p[1] != "import_block" else [] for i, p in enumerate(pieces)]
 
 
+SHELL_LINES = 3
+_PROMPT = re.compile(PROMPT)
+
+
+def shell_pieces(text: str) -> list[Piece]:
+    """Commands with their output; those without any, and what stands before the first prompt, are dropped. Without prompts, paragraphs of three lines or more."""
+    out: list[Piece] = []
+    block: list[str] = []
+    at = start = 0
+    prompts = False
+    for line in [*text.split("\n"), "$ "]:
+        if _PROMPT.match(line):
+            if len(block) > 1:
+                out.append(("\n".join(block), "command", start, None, []))
+            prompts |= at <= len(text)
+            block, start = [line], at
+        elif block:
+            block.append(line)
+        at += len(line) + 1
+    if prompts:
+        return out
+    at = 0
+    for part in text.split("\n\n"):
+        if part.strip() and part.count("\n") + 1 >= SHELL_LINES:
+            out.append((part, "paragraph", at, None, []))
+        at += len(part) + 2
+    return out
+
+
 # Logs with state.
 
-LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
+#: Levels in the order in which they are looked for, and the words that say so, in either case.
+LEVELS = {"TRACE": "TRACE", "DEBUG": "DEBUG", "INFO": "INFO", "WARN": "WARN|WARNING", "ERROR": "ERROR", "FATAL": "FATAL|CRITICAL"}
+_LEVEL_WORDS = {level: re.compile(rf"\b(?:{words})\b", re.IGNORECASE) for level, words in LEVELS.items()}
 LOG_LINES = 20
 
 
@@ -291,7 +326,7 @@ def log_chunks(text: str) -> list[Piece]:
             out.append(("\n".join(event["lines"]), kind, event["at"], event["component"], []))
 
     for line in text.split("\n"):
-        level = next((x for x in LEVELS if re.search(rf"\b{x}\b", line)), None)
+        level = next((x for x, words in _LEVEL_WORDS.items() if words.search(line)), None)
         m = re.match(r"([\w.]+):", line)
         component = m[1] if m else None
         trace = line.startswith(("Traceback", "  File ", "File "))
@@ -337,12 +372,13 @@ def line_format(line: str) -> str:
 
 
 def mixed_chunks(text: str) -> list[Piece]:
-    """Chunks of each run, at its place in the text; indented and blank lines stay with the run before. A JSON run that doesn't parse is text."""
+    """Chunks of each run, at its place in the text; indented and blank lines stay with the run before, and plain lines with a command, up to a blank one. A JSON run that doesn't parse is text."""
     runs: list[tuple[str, int, list[str]]] = []
     at = 0
     for line in text.split("\n"):
         fmt = line_format(line)
-        if runs and (fmt == runs[-1][0] or not line.strip() or line[:1] in " \t)}]" and runs[-1][0] in ("code", "json", "html")):
+        output = runs and runs[-1][0] == "shell" and fmt == "text" and runs[-1][2][-1].strip()
+        if runs and (fmt == runs[-1][0] or output or not line.strip() or line[:1] in " \t)}]" and runs[-1][0] in ("code", "json", "html")):
             runs[-1][2].append(line)
         else:
             runs.append((fmt, at, [line]))
@@ -351,7 +387,7 @@ def mixed_chunks(text: str) -> list[Piece]:
     for fmt, start, lines in runs:
         part = "\n".join(lines)
         try:
-            pieces = {"json": json_chunks, "html": html_chunks, "log": log_chunks, "code": code_chunks}.get(fmt, lambda _: [])(part)
+            pieces = {"json": json_chunks, "html": html_chunks, "log": log_chunks, "code": code_chunks, "shell": shell_pieces}.get(fmt, lambda _: [])(part)
         except ValueError:
             pieces = []
         out += [(c, k, start + p, n, r) for c, k, p, n, r in pieces] or ([(part, "paragraph", start, None, [])] if part.strip() else [])

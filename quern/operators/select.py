@@ -14,7 +14,11 @@ SLACK = 0.15
 def _written(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` computed once, as a table in the shared folder (spark.checkpoint.dir; one of this machine where it is unset, as in tests), and its number of rows. The table is removed when the driver ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quern-")
     path = f"{base.rstrip('/')}/quern-closure-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

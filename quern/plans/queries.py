@@ -163,32 +163,6 @@ def _task(spark, d):
     return _t(spark, d, "benchmark").where("item_id = 0").select(F.col("text").alias("task"))
 
 
-def lexical_score(spark, d):
-    docs = _docs(spark, d).select(F.col("call_id").alias("doc_id"), F.col("raw_output").alias("content"), F.lit(1).alias("one"))
-    tasks = _task(spark, d).withColumn("one", F.lit(1))
-    return score.lexical_scores(docs, tasks, ["doc_id", "one"], ["one"], bucket=score.md5_bucket).select("doc_id", F.round("score", 6).alias("score"))
-
-
-def cosine_topk(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(score.cosine(F.col("embedding"), F.col("q")), 6).alias("cos")).orderBy(F.desc("cos"), "vec_id").limit(20)
-
-
-def hybrid_score(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = e.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    s = score.cosine(F.col("embedding"), F.col("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(score.hybrid(s, F.col("label") / 10.0), 6).alias("score"))
-
-
-def rolling_context(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = e.where("vec_id = 2").select(F.col("embedding").alias("q"))
-    v = score.rolling(F.transform("embedding", lambda x: x.cast("double")), F.transform("q", lambda x: x.cast("double")))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(score.dot(v, v), 6).alias("norm"))
-
-
 def lexical_score_all(spark, d):
     """Every document against every benchmark item."""
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
@@ -354,11 +328,6 @@ def adaptive_budget(spark, d):
     return reports.adaptive_budget(_traces(spark, d), "session_id", "id", "compressed_token_count", 20000, 4000).select("id", "effective_budget")
 
 
-def recent_steps(spark, d):
-    c = _t(spark, d, "conversations").withColumn("step", F.concat("role", F.lit(":"), F.substring("text", 1, 10)))
-    return reports.recent_steps(c, "conv_id", "turn", "step").select("conv_id", "turn", F.array_join("recent_steps", "|").alias("steps"))
-
-
 def recent_steps_whole(spark, d):
     """The same with whole texts; steps get wide, so that their hash is given."""
     c = _t(spark, d, "conversations").withColumn("step", F.concat("role", F.lit(":"), "text"))
@@ -470,10 +439,10 @@ QUERIES = {f.__name__: f for f in (
     compress_calls, html_sections, json_chunks, code_chunks, mixed_segments,
     token_count, truncate, split_tokens, prefilter, detect_format, csv_windows, csv_categories, log_events, line_formats, markdown_sections, shell_commands, paragraphs, dedup_first, cap_chunks, split_oversized,
     cosine_topk_all, hybrid_score_all, rolling_context_all,
-    lexical_score, lexical_score_all, cosine_topk, hybrid_score, rolling_context, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
+    lexical_score_all, signal_quality, guideline_adjust, greedy_extract, dep_closure, reconstruct, compress_documents, result_cache_distinct, session_dedup,
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
     chunk_type_histogram, kept_and_pruned, active_sessions, task_sessions, call_metadata, merged_failures, cache_stats, eval_conditions,
-    adaptive_budget, recent_steps, recent_steps_whole, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
+    adaptive_budget, recent_steps_whole, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
 )}
 
 _RATIO = "round(CASE WHEN sum(original_token_count) > 0 THEN sum(compressed_token_count) / sum(original_token_count) ELSE 1.0 END, 9)"
@@ -507,10 +476,6 @@ SQL = {
     "dedup_first": f"SELECT doc_id, count(*) AS n, sum(ord)::BIGINT AS ords FROM (SELECT doc_id, content, min(i) AS ord FROM (SELECT doc_id, i, array_to_string(t[i * 8 + 1 : i * 8 + 8], '') AS content FROM (SELECT doc_id, regexp_extract_all(text, {SPACED}) AS t FROM documents), range(20000) r(i) WHERE i * 8 < len(t)) GROUP BY 1, 2) GROUP BY 1",
     "cap_chunks": f"WITH {CHUNKS}, n AS (SELECT *, ceil(count(*) OVER (PARTITION BY doc_id) / 5)::BIGINT AS g FROM ch) SELECT doc_id, ord // g AS ord, sum(tok)::BIGINT AS tok, sha256(string_agg(content, chr(10) ORDER BY ch2.ord)) AS h FROM n AS ch2 GROUP BY doc_id, ch2.ord // g",
     "split_oversized": f"SELECT doc_id, i AS start_pos, CASE WHEN n > 500 THEN least(250, n - i * 250) ELSE n END::BIGINT AS tok FROM (SELECT doc_id, len(regexp_extract_all(text, {TOK})) AS n FROM documents), range(2000) r(i) WHERE i = 0 OR (n > 500 AND i * 250 < n)",
-    "lexical_score": f"WITH d AS ({_BAG.format(k='doc_id', t='substr(text, 1, 400)', src='documents')}), q AS ({_BAG.format(k='item_id', t='text', src='(SELECT * FROM benchmark WHERE item_id = 0)')}) SELECT doc_id, round(coalesce(s, 0), 6) AS score FROM documents LEFT JOIN (SELECT doc_id, sum(d.w * q.w) AS s FROM d JOIN q USING (b) GROUP BY 1) USING (doc_id)",
-    "cosine_topk": f"SELECT vec_id, round({_COS}, 6) AS cos FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY cos DESC, vec_id LIMIT 20",
-    "hybrid_score": f"SELECT vec_id, round({_COS} * 0.75 + label / 10.0 * 0.25, 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 1)",
-    "rolling_context": "SELECT vec_id, round(v[1] / sqrt(n), 6) AS first, 1.0::DOUBLE AS norm FROM (SELECT vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS n FROM (SELECT vec_id, list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * 0.4 + z[2]::DOUBLE * 0.6) AS v FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 2)))",
     "signal_quality": "SELECT user_id, CASE WHEN count(*) < 4 THEN 'ok' WHEN min(value) = max(value) THEN 'none' WHEN stddev_pop(value) < 0.05 THEN 'low' ELSE 'ok' END AS signal, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1",
     "guideline_adjust": f"WITH {TRACES}, {OUTCOMES}, g AS (SELECT tool_name, chunk_type, round(least(power(1.2, floor(count(*) / 3)), 3.0), 6) AS m FROM pairs GROUP BY 1, 2) SELECT id, round(n_selected / 8.0 * coalesce(m, 1.0), 6) AS adjusted_score FROM tr LEFT JOIN g ON tr.tool_name = g.tool_name AND pruned_type = chunk_type",
     "greedy_extract": f"WITH RECURSIVE {CHUNKS}, o AS (SELECT doc_id, ord, tok, row_number() OVER (PARTITION BY doc_id ORDER BY ('0x' || substr(md5(content), 1, 6))::BIGINT DESC, ord) AS k FROM ch), g AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 420::BIGINT AS remaining, 0::BIGINT AS n, 0::BIGINT AS ords FROM o UNION ALL SELECT g.doc_id, o.k, remaining - CASE WHEN tok <= remaining THEN tok ELSE 0 END, n + (tok <= remaining)::INT, ords + CASE WHEN tok <= remaining THEN ord ELSE 0 END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1) SELECT doc_id, arg_max(remaining, k) AS remaining, arg_max(n, k) AS n, arg_max(ords, k) AS ords FROM g GROUP BY 1",
@@ -531,7 +496,6 @@ SQL = {
     "guideline_upsert": f"WITH {TRACES} SELECT session_id, tool_name, max(created_at) AS created_at FROM tr GROUP BY 1, 2",
     "trace_append": f"WITH {TRACES} SELECT id, session_id FROM tr WHERE NOT low_signal",
     "adaptive_budget": f"WITH {TRACES}, u AS (SELECT id, coalesce(sum(compressed_token_count) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / 20000.0::DOUBLE AS u FROM tr) SELECT id, floor(4000 * CASE WHEN u <= 0.5 THEN 1.0::DOUBLE ELSE greatest(0.3::DOUBLE, 1 - (u - 0.5::DOUBLE) / 0.5::DOUBLE * 0.7::DOUBLE) END + 0.5::DOUBLE)::BIGINT AS effective_budget FROM u",
-    "recent_steps": "SELECT conv_id, turn, coalesce(array_to_string(list(role || ':' || substr(text, 1, 10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS steps FROM conversations",
     "session_ttl": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS f FROM events), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s",
     "bench_summary": f"WITH {TRACES} SELECT tool_name AS condition, count(*) AS n, round(avg((id % 3 > 0)::INT), 9) AS success_rate, sum(original_token_count)::BIGINT AS raw_tokens, sum(compressed_token_count)::BIGINT AS delivered_tokens, round(1 - sum(compressed_token_count) / sum(original_token_count), 9) AS reduction FROM tr GROUP BY 1",
     "metric_stats": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END, 6) AS stdev, min(value) AS least, max(value) AS most, "

@@ -98,3 +98,13 @@ def test_bounds_of_a_call():
     assert [p[0] for p in formats.shell_pieces("a\nb\nc\n\nd")] == ["a\nb\nc"]
     fenced = "pre " * 30 + "\n# A\n```\n# not\n```\n" + "x " * 30 + "\n# B\ny"
     assert [p[0].split("\n")[0][:5] for p in formats.markdown_pieces(fenced)] == ["pre p", "# A", "# B"]
+
+
+def test_levels_layout_words_and_shell_runs():
+    from quern.operators.parsers import log_chunks, meaningful, mixed_chunks
+
+    text = "2024-01-01 10:00:00 info start\n2024-01-01 10:00:01 Warning low\n2024-01-01 10:00:02 critical gone\n2024-01-01 10:00:03 error twice"
+    assert [(c.split()[2].lower(), kind) for c, kind, *_ in log_chunks(text)] == [("info", "event"), ("warning", "event"), ("critical", "error"), ("error", "error")]
+    assert [meaningful(c) for c in ("row", "col-6", "border", "span shadow-sm", "price", "row price", "", None)] == [False, False, False, False, True, True, False, False]
+    mixed = "some words here\n$ ls -l\nfile one\nfile two\n$ pwd\n/root"
+    assert "command" in [kind for _, kind, *_ in mixed_chunks(mixed)]
