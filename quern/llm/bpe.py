@@ -175,9 +175,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text_col: str = "text",
     return _mapped(docs, text_col, path, leaf, "n_tokens long, ids array<int>", _checked, write)
 
 
-def bpe_digests(docs: DataFrame, path: str | None = None, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """As bpe_encode(), but with digests of ids and decoded text in place of both: ids_sha256, decoded_sha256."""
-    return _mapped(docs, text_col, path or default_vocabulary(), leaf, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+def bpe_digests(docs: DataFrame, path: str | None = None, text_col: str = "text", leaf: int = LEAF, keep: list[str] | None = None) -> DataFrame:
+    """As bpe_encode(), but with digests of ids and decoded text in place of both: ids_sha256, decoded_sha256; of the columns of ``docs`` those in ``keep``, all by default."""
+    return _mapped(docs, text_col, path or default_vocabulary(), leaf, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests, keep=keep)
 
 
 def _ids(bpe: Bpe, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
@@ -273,11 +273,11 @@ def _long_ids(long: DataFrame, path: str, leaf: int) -> DataFrame:
     return level.select("row", F.col("ids").alias("__ids"))
 
 
-def _mapped(docs: DataFrame, text_col: str, path: str, leaf: int, added: str, make, write: bool = True) -> DataFrame:
+def _mapped(docs: DataFrame, text_col: str, path: str, leaf: int, added: str, make, write: bool = True, keep: list[str] | None = None) -> DataFrame:
     new = [x.split()[0] for x in added.split(", ")]
     docs = docs.select(*[c for c in docs.columns if c not in new or c == text_col])
-    keep = [c for c in docs.columns if c not in new]
-    inner = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keep = [c for c in docs.columns if c not in new and (keep is None or c in keep)]
+    inner = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -300,4 +300,4 @@ def _mapped(docs: DataFrame, text_col: str, path: str, leaf: int, added: str, ma
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
