@@ -15,8 +15,8 @@ from .common import give_back, save, table
 
 #: Edits allowed in a passage, as a share of the test item's length.
 ERROR_RATE = 0.06
-#: Characters of test items in one automaton, which every executor gets; longer benchmarks take several passes.
-SLICE_CHARS = 8 << 20
+#: Characters of test items in one automaton, some 60 bytes each in every Python worker (about 120 MB); longer benchmarks take a pass over the texts for each slice.
+SLICE_CHARS = 2 << 20
 
 
 def normalise(text: str) -> str:
