@@ -112,6 +112,7 @@ def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries:
 
 def _unit(flat: np.ndarray) -> np.ndarray:
     x = flat.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay in range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -219,9 +220,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
     id count as vectors of their own in n_links. Further columns are ignored. No rows give no rows.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    size = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
     fine = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    own = own.withColumn("usable", F.col("id").isNotNull() & F.col("label").isNotNull() & fine & F.when(fine, (size > 0) & (size < float("inf"))).otherwise(False))
+    own = own.withColumn("usable", F.col("id").isNotNull() & F.col("label").isNotNull() & fine & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False)))
     classes = save(own.where("usable").groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vec-classes")
     dims = [r["d"] for r in classes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]
     parts = [_linked(classes.where(F.size("embedding") == d), d, threshold) for d in dims]

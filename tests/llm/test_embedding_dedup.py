@@ -53,6 +53,13 @@ def test_odd_rows(spark):
     assert ed.near_duplicate_vectors(df.where("vec_id > 99")).collect() == []
 
 
+def test_components_whose_squares_leave_the_range(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1.001e200, 2e200]), (3, [2e200, -1e200]), (4, [1e-200, 2e-200]), (5, [3.0, 6.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicate_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (0, 3), 4: (3, 1), 5: (3, 1)}
+
+
 def test_prune_keeps_reach():
     x = points(300, 9)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
