@@ -13,7 +13,7 @@ from .common import apart, find_spans, let, listed, piece, save, sha256_hex, tab
 #: Fixed by the contract, written so that Java's matcher neither recurses nor starts within a run that it has tried.
 _WORD = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{_WORD}]))[{_WORD}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
@@ -42,15 +42,16 @@ SAYS = {
 DENIES = r"order|invoice|isbn|version|serial|ticket|item no|bestell|commande|pedido|rechnung|chapter|kapitel"
 
 #: Wider candidates, kept only if the classifier says so: written-out addresses, numbers of a card's length, numbers grouped like a phone's, persons' names, street addresses.
+#: Patterns begin with a look at the first character, which is cheaper at each place than a look back.
 LOOSE = ("loose_email", "loose_card", "loose_phone", "name", "address")
 KINDS = BASE + LOOSE
 SORTS = ("email", "ip", "card", "phone", "name", "address")
 LOOSE_EMAIL = rf"(?<![{_WORD}])[{_WORD}]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++"
-LOOSE_PHONE = r"(?<![0-9+.(])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.])"
+LOOSE_PHONE = r"(?=[0-9(])(?<![0-9+.(])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.])"
 _TITLE, _SURNAME = rf"(?:{'|'.join(TITLES)})\.?\x20", r"\p{Lu}[\p{Ll}]{1,24}+"
-NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})?(?:{'|'.join(FIRST_NAMES)})\x20{_SURNAME}|{_TITLE}{_SURNAME}(?:\x20{_SURNAME})?)"
+NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLE})?(?:{'|'.join(FIRST_NAMES)})\x20{_SURNAME}|{_TITLE}{_SURNAME}(?:\x20{_SURNAME})?)"
 ADDRESS = (
-    r"(?<![\p{L}\p{N}])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{L}{1,24}+\x20){1,3}(?:Street|Road|Avenue|Lane|Drive|Square|Boulevard)(?!\p{L})"
+    r"(?=[0-9\p{Lu}])(?<![\p{L}\p{N}])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{L}{1,24}+\x20){1,3}(?:Street|Road|Avenue|Lane|Drive|Square|Boulevard)(?!\p{L})"
     r"|\p{Lu}\p{L}{1,24}(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{1,4}+"
     r"|[0-9]{1,4},?\x20(?:rue|avenue|boulevard|place|quai)\x20(?:(?:de|du|des|la|le|les)\x20){0,2}\p{Lu}\p{L}{1,24}+"
     r"|(?:Calle|Avenida|Plaza|Paseo)\x20(?:(?:de|del|la|las|los)\x20){0,2}\p{Lu}\p{L}{1,24}+,?\x20[0-9]{1,4}+)"
