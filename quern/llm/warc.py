@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +17,11 @@ from .common import new_path, save, table
 CRLF = "\r\n"
 #: Equal payloads of so many bytes at least are stored once.
 REVISIT_BYTES = 1000
-#: Records in one archive file at most; it bounds what one reading task holds.
-RECORDS_A_FILE = 1800
+#: Pages in one archive file at most, and bytes up to which a page may be so; pages up to 2, 4, 8 ... times as large
+#: come half, a quarter, an eighth ... as many to a file, down to one: a file holds some 20 MB of payload, or one page.
+PAGES_A_FILE, SMALL_BYTES = 600, 1 << 15
+#: Records, and bytes of payload, that a reading task passes on at once.
+BATCH_RECORDS, BATCH_BYTES = 300, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
@@ -48,6 +53,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html"))
+    above = F.ceil(F.log2(F.greatest(F.col("bytes"), F.lit(SMALL_BYTES)) / SMALL_BYTES)).cast("int")
+    sizes = sorted(r["c"] for r in rows.select(above.alias("c")).distinct().collect())  # 17 at most
     large = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
     first = save(large.agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "kept"), "warc-kept")
     rows = rows.join(first, F.col("digest") == F.col("of"), "left")
@@ -62,23 +69,34 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.when(again, http).otherwise(F.concat(http, F.col("html"))),
     )
     about = _record("metadata", [("WARC-Record-ID", _urn(F.lit("metadata"), own)), ("WARC-Concurrent-To", own), ("WARC-Target-URI", uri), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
-    records = rows.select(F.explode(F.array(request, capture, about)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    for c in sizes or [0]:  # one scan for each size that occurs
+        records = rows.where(above == c).select(F.explode(F.array(request, capture, about)).alias("value"))
+        most = 3 * max(1, PAGES_A_FILE >> c)
+        records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={c}")
+
+
+def _head(stream: BinaryIO) -> bytes:
+    """A record's header up to its empty line; nothing at the end of the archive."""
+    lines = []
+    while (line := stream.readline()) and line != b"\r\n":
+        lines.append(line)
+    if lines and (not line or not lines[0].startswith(b"WARC/1.")):
+        raise ValueError(f"no WARC record at {lines[0][:80]!r}")
+    if line and not lines:
+        raise ValueError("no WARC record at an empty line")
+    return b"".join(lines)
 
 
 def parse_archive(data: bytes, payloads: bool) -> Iterator[tuple]:
-    """Records of one archive in RECORD's columns. A record that breaks the format is an error: nothing is skipped."""
+    """Records of one archive in RECORD's columns, unpacked one at a time. A record that breaks the format is an error: nothing is skipped."""
+    stream = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/1.", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split(CRLF)[1:])
-        begin, size = end + 4, int(fields["Content-Length"])
-        block, at = data[begin : begin + size], begin + size + 4
-        if len(block) != size or data[at - 4 : at] != b"\r\n\r\n":
+        stream = gzip.GzipFile(fileobj=stream)
+    while head := _head(stream):
+        fields = dict(line.split(": ", 1) for line in head.decode().removesuffix(CRLF).split(CRLF)[1:])
+        size = int(fields["Content-Length"])
+        block = stream.read(size)
+        if len(block) != size or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"cut record {fields.get('WARC-Record-ID')}")
         kind, page, n, digest, payload = fields["WARC-Type"], None, None, None, None
         if kind in ("response", "revisit"):
@@ -100,12 +118,21 @@ def _records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     types = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = list(parse_archive(data.as_py(), payloads))
-                for i in range(0, len(rows), 300):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 300], strict=True), types, strict=True)], names)
+                rows, held = [], 0
+                for row in parse_archive(data.as_py(), payloads):
+                    rows.append(row)
+                    held += len(row[-1] or b"")
+                    if len(rows) >= BATCH_RECORDS or held >= BATCH_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield made(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
     return files.mapInArrow(run, RECORD)
