@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +60,25 @@ def trace_diff(traces: DataFrame) -> DataFrame:
 
 
 def metric_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, mean, median, sample deviation (0 for one row), extremes, and percentiles by index without interpolation."""
+    """Count, mean, median, sample deviation (0 for one row), extremes, and percentiles by index without interpolation.
+
+    Places come from running counts over a key's distinct values, counted map-side before: no array of a key's values.
+    """
     n = F.count(value)
-    sorted_values = F.array_sort(F.collect_list(value))
-    g = rows.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.when(n > 1, F.stddev_samp(value)).otherwise(0.0).alias("stdev"), F.min(value).alias("least"), F.max(value).alias("most"), sorted_values.alias("v"))
-    at = lambda p: F.get("v", F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).cast("int")).alias(f"p{p}")
-    return g.select(*keys, "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")], "least", "most", *[at(p) for p in (50, 90, 95, 99)])
+    spread = F.when(n > 1, F.stddev_samp(value)).otherwise(0.0)
+    sums = rows.groupBy(*keys).agg(
+        n.alias("n"), F.avg(value).alias("mean"), spread.alias("stdev"), F.min(value).alias("least"), F.max(value).alias("most")
+    )
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__count"))
+    w = Window.partitionBy(*keys).orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "__value", F.sum("__count").over(w).alias("__upto"))
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    at = lambda i: F.min(F.when(F.col("__upto") > i, F.col("__value")))
+    marks = {f"p{p}": F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) for p in (50, 90, 95, 99)}
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    own = ["n", "mean", "stdev", "least", "most"]
+    out = sums.join(upto, same, "left").groupBy(*keys, *own).agg(middle.alias("median"), *[at(i).alias(name) for name, i in marks.items()])
+    return out.select(*keys, "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")], "least", "most", *marks)
 
 
 def bench_summary(rows: DataFrame) -> DataFrame:

@@ -159,7 +159,11 @@ def test_feedback_cycle(spark):
 
 def test_metrics_and_routing(spark):
     stats = reports.metric_stats(spark.range(1, 11).select(F.lit("m").alias("k"), F.col("id").cast("double").alias("v0")), ["k"], "v0").first()
-    assert (stats.n, stats.mean, stats.p50, stats.p99) == (10, 5.5, 6.0, 10.0)
+    assert (stats.n, stats.mean, stats.median, stats.p50, stats.p99) == (10, 5.5, 5.5, 6.0, 10.0)
+    odd = [("t", 2.0)] * 98 + [("t", 7.0), ("t", 9.0), (None, 4.0), ("n", None)]
+    got = {r.k: r for r in reports.metric_stats(spark.createDataFrame(odd, "k string, v double"), ["k"], "v").collect()}
+    assert [got["t"][c] for c in ("n", "median", "p50", "p90", "p99", "most")] == [100, 2.0, 2.0, 2.0, 9.0, 9.0]
+    assert (got[None].n, got[None].p95, got[None].stdev) == (1, 4.0, 0.0) and (got["n"].n, got["n"].p50, got["n"].median) == (0, None, None)
     tools = spark.createDataFrame([("u", "read"), ("w", "read"), ("w", "ls")], "upstream string, name string")
     assert {r.exposed for r in reports.routed_names(tools).collect()} == {"u__read", "w__read", "ls"}
 
