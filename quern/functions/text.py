@@ -17,8 +17,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SPACED), F.lit(0))
 
 
-def count_tokens(text: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), F.lit(0))
+def count_tokens(text: Column, token: str = TOKEN) -> Column:
+    """How many ``token`` (a regular expression) the text holds; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(token)), F.lit(0))
 
 
 def truncate(text: Column, n: int | Column) -> Column:
@@ -78,5 +79,15 @@ def compact_number(n: Column) -> Column:
     return F.when(F.abs(n) >= 1_000_000, F.concat(F.format_number(n / 1e6, 1), F.lit("M"))).when(F.abs(n) >= 1000, F.concat(F.format_number(n / 1e3, 1), F.lit("k"))).otherwise(n.cast("string"))
 
 
+def percent(share: Column, digits: int = 1) -> Column:
+    """0.256 -> 25.6%; null stays null."""
+    return F.concat(F.format_number(share * 100, digits), F.lit("%"))
+
+
+def short_id(text: Column, n: int = 8) -> Column:
+    """The first ``n`` characters, with an ellipsis where more follow."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("\u2026"))).otherwise(text)
+
+
 def within_minutes(ts: Column, now: Column, minutes: int) -> Column:
     return ts >= now - F.make_interval(mins=F.lit(minutes))

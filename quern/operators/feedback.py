@@ -39,6 +39,11 @@ def decayed(multiplier: Column, last_failure: Column, now: Column, runs: int = 1
     return F.when((multiplier > 1) & old, clamp(multiplier * DECAY**runs, MOST)).otherwise(multiplier)
 
 
+def decayed_always(multiplier: Column, runs: int = 1) -> Column:
+    """Raised multipliers ``runs`` decays later, however recent their last failure."""
+    return F.when(multiplier > 1, clamp(multiplier * DECAY**runs, MOST)).otherwise(multiplier)
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Latest row of each key; among equal ones the update's."""
     both = target.withColumn("__new", F.lit(0)).unionByName(updates.withColumn("__new", F.lit(1)))

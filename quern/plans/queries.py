@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect, text
-from ..operators import feedback, parsers, reports, score, segment, select, views
+from ..operators import feedback, parsers, reports, score, segment, select, stores, views
 from . import compress as plan
 from . import engine
 
@@ -212,9 +212,81 @@ def greedy_extract(spark, d):
     return g.select("doc_id", sel.alias("x")).select("doc_id", F.col("x.remaining").alias("remaining"), F.size("x.selected").cast("long").alias("n"), F.aggregate("x.selected", F.lit(0).cast("long"), lambda a, i: a + i).alias("ords"))
 
 
+def _order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as chunks of one call: an order depends on the customer's next one, each seventh also on the first (a cycle)."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    o = _t(spark, d, "orders").select(
+        F.col("o_custkey").alias("call_id"),
+        F.col("o_orderkey").alias("src"),
+        F.lead("o_orderkey").over(w).alias("following"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.min("o_orderkey").over(whole)).alias("back"),
+    )
+    return o.withColumn("dst", F.explode(F.array("following", "back"))).where("dst is not null").select("call_id", "src", "dst")
+
+
 def dep_closure(spark, d):
-    o = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("call_id"), (F.col("o_orderkey") % 40).alias("src"), ((F.col("o_orderkey") * 7 + 3) % 41).alias("dst")).distinct()
-    return select.closures(o, "call_id").groupBy("call_id", "src").agg(F.count("*").alias("n"), F.sum("dst").alias("total"))
+    return select.closures(_order_edges(spark, d), "call_id").groupBy("call_id", "src").agg(F.count("*").alias("n"), F.sum("dst").alias("total"))
+
+
+def dep_dependents(spark, d):
+    back = stores.dependents(select.closures(_order_edges(spark, d), "call_id"), "call_id")
+    return back.groupBy("call_id", "chunk").agg(F.count("*").alias("n"), F.sum("dependent").alias("total"))
+
+
+def selection_cost(spark, d):
+    """What each customer's urgent orders cost with all that they depend on; lines are tokens."""
+    chunks = _t(spark, d, "orders").select(F.col("o_custkey").alias("call_id"), F.col("o_orderkey").alias("id"), (F.length("o_orderpriority") * 10).cast("long").alias("tok"), "o_orderpriority")
+    closure = select.closures(_order_edges(spark, d), "call_id")
+    return stores.selection_cost(chunks.where("o_orderpriority like '1%'"), closure, chunks, "call_id", 600)
+
+
+def placeholders(spark, d):
+    """Orders whose priority is low are no chunks; others refer to them."""
+    chunks = _t(spark, d, "orders").where("o_orderpriority not like '5%'").select(F.col("o_custkey").alias("call_id"), F.col("o_orderkey").alias("id"))
+    return stores.placeholders(_order_edges(spark, d), chunks, "call_id")
+
+
+def trace_union(spark, d):
+    """Three stores: all traces but those of every third event, those, and a buffer that holds each fifth once more."""
+    t = _traces(spark, d).select("id", "task_id", "session_id", "created_at")
+    return stores.union_traces(t.where("id % 3 <> 0"), t.where("id % 3 = 0"), t.where("id % 5 = 0").drop("session_id"))
+
+
+def traces_of_failed(spark, d):
+    """Traces of all tasks that failed."""
+    failed = _failures(spark, d).select("task_id")
+    return stores.traces_of(_traces(spark, d), failed, "task_id").select("id", "task_id", "tool_name")
+
+
+def guideline_evidence(spark, d):
+    return stores.evidence(_pairs(spark, d))
+
+
+def size_gate(spark, d):
+    return _any_text(spark, d).select("src", "k", stores.size_gate(F.col("t"), F.col("src") == "page").alias("compress"))
+
+
+def result_cache(spark, d):
+    """Each document as a call: whose result it gets, and whether it is a hit."""
+    return stores.from_cache(_docs(spark, d), ["raw_output"], "call_id").select("call_id", "first_call", "hit")
+
+
+def shell_windows(spark, d):
+    rows = _docs(spark, d).select("call_id", F.explode(stores.line_windows(F.col("raw_output"))).alias("w"))
+    return rows.select("call_id", "w.start_line", "w.num_lines", F.sha2("w.content", 256).alias("content_sha256"))
+
+
+def needle_delivered(spark, d):
+    """Two needles for each document, looked for in its text and in what compress_documents delivers of it."""
+    made = compress_documents(spark, d).select("call_id", "output")
+    outputs = _docs(spark, d).join(made, "call_id")
+    needles = _docs(spark, d).select("call_id", F.explode(F.array(*map(F.lit, NEEDLES))).alias("pattern"))
+    found = stores.needle_hits(outputs, needles, "call_id")
+    return found.select("call_id", "pattern", "in_raw", "survives", "evidence")
+
+
+NEEDLES = ("password=[0-9a-f]+", "[Ll]icensed under")
 
 
 def reconstruct(spark, d):
@@ -443,6 +515,7 @@ QUERIES = {f.__name__: f for f in (
     session_summaries, tool_report, overview, trace_by_task, trace_diff, failure_detect, failure_counts_by_tool, acon_update, guideline_history, acon_decay, guideline_upsert, trace_append,
     chunk_type_histogram, kept_and_pruned, active_sessions, task_sessions, call_metadata, merged_failures, cache_stats, eval_conditions,
     adaptive_budget, recent_steps_whole, session_ttl, bench_summary, metric_stats, needle_survival, tool_name_collisions, budget_for_tool, history_newest,
+    dep_dependents, selection_cost, placeholders, trace_union, traces_of_failed, guideline_evidence, size_gate, result_cache, shell_windows, needle_delivered,
 )}
 
 _RATIO = "round(CASE WHEN sum(original_token_count) > 0 THEN sum(compressed_token_count) / sum(original_token_count) ELSE 1.0 END, 9)"
@@ -541,3 +614,27 @@ f AS ({_fmt("documents", "doc_id AS call_id", "text")}),
 j AS (SELECT doc.call_id, text, len(t)::BIGINT AS original_tokens, m.* EXCLUDE (call_id), coalesce(chosen > 0 AND signal <> 'none' AND made_tokens / len(t) <= 0.7, false) AS ok FROM doc LEFT JOIN m USING (call_id))
 SELECT call_id, format, CASE WHEN ok THEN made ELSE text END AS output, original_tokens, CASE WHEN ok THEN made_tokens ELSE original_tokens END AS compressed_tokens, round(CASE WHEN ok THEN made_tokens / original_tokens ELSE 1.0 END, 9) AS ratio,
        CASE WHEN ok THEN chosen ELSE 1 END::BIGINT AS chunks_selected, coalesce(chunks_total, 1)::BIGINT AS chunks_total, coalesce(signal, 'ok') AS signal FROM j JOIN f USING (call_id)"""
+
+_EDGES = """o AS (SELECT o_custkey AS call_id, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS following,
+  CASE WHEN o_orderkey % 7 = 0 THEN min(o_orderkey) OVER (PARTITION BY o_custkey) END AS back FROM orders),
+e AS (SELECT call_id, src, following AS dst FROM o WHERE following IS NOT NULL UNION ALL SELECT call_id, src, back FROM o WHERE back IS NOT NULL)"""
+_PATHS = f"""{_EDGES}, p AS (SELECT call_id, src, dst FROM e WHERE src <> dst
+  UNION SELECT p.call_id, p.src, e.dst FROM p JOIN e ON p.call_id = e.call_id AND p.dst = e.src WHERE p.src <> e.dst)"""
+SQL["dep_closure"] = f"WITH RECURSIVE {_PATHS} SELECT call_id, src, count(*) AS n, sum(dst)::BIGINT AS total FROM p GROUP BY 1, 2"
+SQL["dep_dependents"] = f"WITH RECURSIVE {_PATHS} SELECT call_id, dst AS chunk, count(*) AS n, sum(src)::BIGINT AS total FROM p GROUP BY 1, 2"
+SQL["selection_cost"] = f"""WITH RECURSIVE {_PATHS}, c AS (SELECT o_custkey AS call_id, o_orderkey AS id, length(o_orderpriority) * 10 AS tok, o_orderpriority LIKE '1%' AS chosen FROM orders),
+n AS (SELECT call_id, id FROM c WHERE chosen UNION SELECT p.call_id, p.dst FROM p JOIN c ON c.call_id = p.call_id AND c.id = p.src WHERE chosen)
+SELECT call_id, count(*) AS needed, sum(tok)::BIGINT AS total_tokens, sum(tok) <= 600 AS fits FROM n JOIN c USING (call_id, id) GROUP BY 1"""
+SQL["placeholders"] = f"""WITH {_EDGES} SELECT DISTINCT call_id, dst AS id, '' AS content, 0::BIGINT AS tok, -1 AS start_pos FROM e
+WHERE dst NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '5%')"""
+SQL["trace_union"] = f"""WITH {TRACES} SELECT id, task_id, session_id, created_at FROM tr
+UNION ALL SELECT id, task_id, NULL, created_at FROM tr WHERE id % 5 = 0"""
+SQL["traces_of_failed"] = f"WITH {TRACES}, {OUTCOMES} SELECT id, task_id, tool_name FROM tr WHERE task_id IN (SELECT task_id FROM fl)"
+SQL["guideline_evidence"] = f"""WITH {TRACES}, {OUTCOMES} SELECT tool_name, chunk_type, row_number() OVER (PARTITION BY tool_name, chunk_type ORDER BY created_at, task_id)::INT AS position, task_id FROM pairs"""
+SQL["size_gate"] = f"WITH {ANY_TEXT} SELECT src, k, coalesce(length(t) >= 4000, false) AND src <> 'page' AS compress FROM x"
+SQL["result_cache"] = "SELECT doc_id AS call_id, min(doc_id) OVER (PARTITION BY text) AS first_call, doc_id <> min(doc_id) OVER (PARTITION BY text) AS hit FROM documents"
+SQL["shell_windows"] = """SELECT doc_id AS call_id, i::INT AS start_line, len(l[i + 1 : i + 3])::INT AS num_lines, sha256(array_to_string(l[i + 1 : i + 3], chr(10))) AS content_sha256
+FROM (SELECT doc_id, l, unnest(range(0, len(l), 3)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+SQL["needle_delivered"] = f"""WITH c AS ({SQL["compress_documents"]}), n AS (SELECT unnest([{", ".join(f"'{x}'" for x in NEEDLES)}]) AS pattern)
+SELECT call_id, pattern, regexp_matches(text, pattern) AS in_raw, regexp_matches(output, pattern) AS survives,
+  regexp_extract(output, '[^\\n]*(?:' || pattern || ')[^\\n]*') AS evidence FROM c JOIN documents ON doc_id = call_id, n"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.feedback import append_new, upsert
+from ..operators.stores import ordered_traces
 
 TRACE_KEY, GUIDELINE_KEYS = "id", ["tool_name", "chunk_type"]
 
@@ -59,7 +60,21 @@ def upsert_guidelines(rows: DataFrame, path: str, version: str, previous: str |
     return spark.read.parquet(f"{path}/{version}")
 
 
+def read_traces(spark: SparkSession, path: str, newest_first: bool = False) -> DataFrame:
+    """The stored traces by time, then id. A missing table is an error."""
+    return ordered_traces(spark.read.parquet(path), newest_first)
+
+
+def append_failures(rows: DataFrame, path: str) -> None:
+    """Failed tasks, each task_id once: those that the table has are left out."""
+    have = _existing(rows.sparkSession, path)
+    (rows.dropDuplicates(["task_id"]) if have is None else append_new(have, rows, "task_id")).write.mode("append").parquet(path)
+
+
 def write_results(results: DataFrame, path: str, fmt: str = "json") -> None:
-    """Outputs with the reduction in percent, as JSON lines or as CSV with a header."""
+    """Outputs with the reduction in percent, as JSON lines or as CSV with a header; as text, the outputs alone."""
+    if fmt == "text":
+        results.select(F.coalesce("output", F.lit("")).alias("value")).write.mode("overwrite").text(path)
+        return
     out = results.withColumn("reduction_percent", (1 - F.col("ratio")) * 100)
     out.write.mode("overwrite").option("header", "true").format(fmt).save(path)
