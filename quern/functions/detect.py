@@ -66,3 +66,12 @@ def implicated(outcome: Column, reason: Column) -> Column:
 def signal_quality(n: Column, least: Column, most: Column, deviation: Column) -> Column:
     """none if all scores are equal, low if they hardly differ, ok otherwise and for fewer than four."""
     return F.when(n < 4, "ok").when(least == most, "none").when(deviation < 0.05, "low").otherwise("ok")
+
+
+def signal_of(scores: Column) -> Column:
+    """signal_quality() of an array of scores."""
+    n = F.size(scores)
+    some = F.nullif(n, F.lit(0))
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / some
+    spread = F.sqrt(F.aggregate(scores, F.lit(0.0), lambda a, s: a + (s - mean) * (s - mean)) / some)
+    return signal_quality(n, F.array_min(scores), F.array_max(scores), spread)

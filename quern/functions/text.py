@@ -18,8 +18,9 @@ def tokens(text: Column) -> Column:
 
 
 def count_tokens(text: Column, token: str = TOKEN) -> Column:
-    """How many ``token`` (a regular expression) the text holds; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(token)), F.lit(0))
+    """How many ``token`` (a regular expression) the text holds; 0 for null. Of TOKEN one character each is left and counted, so that no array of them is made."""
+    n = F.length(F.regexp_replace(text, r"[ \t\r\n]+|(?<=[A-Za-z0-9_])[A-Za-z0-9_]+", "")) if token == TOKEN else F.regexp_count(text, F.lit(token))
+    return F.coalesce(n, F.lit(0))
 
 
 def truncate(text: Column, n: int | Column) -> Column:

@@ -42,6 +42,27 @@ def lexical_scores(chunks: DataFrame, tasks: DataFrame, keys: list[str], on: lis
     return chunks.select(*keys).join(hits, keys, "left").select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def hashed(text: Column, bucket=crc_bucket) -> Column:
+    """Buckets of a text's words, sorted; a word that repeats is there as often. Empty for null."""
+    return F.sort_array(F.coalesce(F.transform(words(text), lambda w: bucket(w).cast("int")), F.array().cast("array<int>")))
+
+
+def overlap(own: Column, asked: Column) -> Column:
+    """Cosine of two bags given as hashed(): the score of lexical_scores() within a row, 0 where one is empty."""
+    none = F.lit(0).cast("long")
+
+    def met(acc: Column, x: Column) -> Column:
+        again = F.when(x == acc["last"], acc["run"]).otherwise(none) + 1
+        return F.struct(x.alias("last"), again.alias("run"), (acc["total"] + 2 * again - 1).alias("total"))
+
+    def squares(bag: Column) -> Column:
+        return F.aggregate(bag, F.struct(F.lit(-1).alias("last"), none.alias("run"), none.alias("total")), met, lambda acc: acc["total"])
+
+    hits = F.aggregate(F.array_intersect(own, asked), none, lambda s, b: s + F.size(F.filter(own, lambda x: x == b)).cast("long") * F.size(F.filter(asked, lambda x: x == b)))
+    sizes = F.sqrt(squares(own).cast("double") * squares(asked))
+    return F.coalesce(F.when(hits > 0, hits / sizes), F.lit(0.0))
+
+
 def _dense(buckets: list[list[int] | None]) -> np.ndarray:
     """Bags as rows of unit length, zero for a text without words."""
     at = np.array([i * BUCKETS + b for i, x in enumerate(buckets) for b in x or ()], dtype=np.int64)

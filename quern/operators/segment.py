@@ -24,7 +24,7 @@ def prefilter(text: Column, head_tokens: int = 30_000) -> Column:
     toks = F.array(tokens(text))
     cut = F.transform(toks, lambda t: F.array_join(F.slice(t, F.lit(1), F.lit(head_tokens)), ""))
     head = F.element_at(cut, 1)
-    return F.when(count_tokens(text) > 2 * head_tokens, F.concat(head, F.lit("\n[... middle omitted ...]\n"), F.right(text, F.length(head)))).otherwise(text)
+    return F.when((F.length(text) > 2 * head_tokens) & (count_tokens(text) > 2 * head_tokens), F.concat(head, F.lit("\n[... middle omitted ...]\n"), F.right(text, F.length(head)))).otherwise(text)
 
 
 def csv_windows(lines: DataFrame, key: str, rows: int = 50) -> DataFrame:

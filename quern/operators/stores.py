@@ -55,10 +55,18 @@ def from_cache(calls: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def needle_hits(outputs: DataFrame, needles: DataFrame, key: str) -> DataFrame:
     """``outputs`` (``key``, raw_output, output) joined to the ``needles`` (``key``, pattern) of their task: in_raw, survives (in what was delivered) and the line of evidence. A null text holds none."""
+    return needles_in(outputs.join(needles.select(key, "pattern"), key))
+
+
+def needles_in(rows: DataFrame) -> DataFrame:
+    """needle_hits() of rows (raw_output, output, pattern) that are joined already.
+
+    Evidence is looked for from the beginnings of lines only, where the leftmost match starts anyway; without that,
+    a line that holds no needle takes the square of its length.
+    """
     found = lambda c: F.coalesce(F.regexp_like(c, F.col("pattern")), F.lit(False))
-    line = F.regexp_substr(F.col("output"), F.concat(F.lit(r"[^\n]*(?:"), F.col("pattern"), F.lit(r")[^\n]*")))
-    joined = outputs.join(needles.select(key, "pattern"), key)
-    return joined.withColumn("in_raw", found(F.col("raw_output"))).withColumn("survives", found(F.col("output"))).withColumn("evidence", F.coalesce(line, F.lit("")))
+    line = F.regexp_substr(F.col("output"), F.concat(F.lit(r"(?<![^\n])[^\n]*(?:"), F.col("pattern"), F.lit(r")[^\n]*")))
+    return rows.withColumn("in_raw", found(F.col("raw_output"))).withColumn("survives", found(F.col("output"))).withColumn("evidence", F.coalesce(line, F.lit("")))
 
 
 def dependents(closure: DataFrame, key: str) -> DataFrame:

@@ -5,52 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import detect_format, signal_quality
-from ..functions.text import chunk_id, count_tokens, split_tokens
-from ..operators.score import crc_bucket, lexical_scores
+from ..functions.detect import detect_format, signal_of
+from ..functions.text import count_tokens, split_tokens
+from ..operators.score import HEAD, crc_bucket, hashed, overlap
 from ..operators.segment import prefilter
 from ..operators.select import greedy
 
 MIN_TOKENS, MIN_SAVINGS = 1000, 0.3
 
 
-def compress(calls: DataFrame, chunks: DataFrame | None = None, budget: int = 8000, window: int = 200, min_tokens: int = MIN_TOKENS, bucket=crc_bucket) -> DataFrame:
-    """One row for each call (call_id, raw_output, task): output, original_tokens, compressed_tokens, ratio, chunks_selected, chunks_total, signal.
+def compress(calls: DataFrame, chunks: DataFrame | None = None, budget: int = 8000, window: int = 200, min_tokens: int = MIN_TOKENS, bucket=crc_bucket, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each call (call_id, raw_output, task): output, original_tokens, compressed_tokens, ratio, chunks_selected, chunks_total, signal, and the columns of calls named in ``keep``.
 
     Texts below ``min_tokens`` pass unchanged. Others are cut (into ``chunks`` (call_id, ord, content) if given, else
     into token windows), scored against the task, and chosen greedily by score, then order, under ``budget``. A call
-    whose scores say nothing, of which nothing fits, or that saves less than 30 % passes unchanged as well. One
-    exchange on call_id serves scores, signal and choice.
+    whose scores say nothing, of which nothing fits, or that saves less than 30 % passes unchanged as well. All that
+    a call needs is in its own row: without ``chunks`` nothing is exchanged; repeated calls stay repeated.
     """
     sized = calls.withColumn("original_tokens", count_tokens(F.col("raw_output")).cast("long"))
-    big = sized.where(F.col("original_tokens") >= min_tokens)
+    big = F.col("original_tokens") >= min_tokens
     if chunks is None:
-        chunks = big.select("call_id", F.posexplode(split_tokens(prefilter(F.col("raw_output")), window)).alias("ord", "content"))
-    chunks = chunks.where(F.trim("content") != "").withColumn("id", chunk_id(F.col("content"))).withColumn("tok", count_tokens(F.col("content")).cast("long"))
-    scores = lexical_scores(chunks, big.select("call_id", "task"), ["call_id", "ord"], ["call_id"], bucket=bucket).withColumn("score", F.round("score", 9))
-    rows = chunks.join(scores, ["call_id", "ord"])
-    per_call = rows.groupBy("call_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "ord", "tok"))).alias("ordered"),
-        F.array_sort(F.collect_list(F.struct("ord", "tok", "content"))).alias("parts"),
-        F.count("*").alias("chunks_total"),
-        signal_quality(F.count("*"), F.min("score"), F.max("score"), F.stddev_pop("score")).alias("signal"),
-    )
-    chosen = per_call.withColumn("selected", greedy(F.col("ordered"), F.lit(budget))["selected"])
-    kept = F.filter("parts", lambda p: F.array_contains("selected", p["ord"]))
-    made = chosen.select("call_id", "chunks_total", "signal", F.size("selected").alias("chunks_selected"), F.array_join(F.transform(kept, lambda p: p["content"]), "\n").alias("made"), F.aggregate(kept, F.lit(0).cast("long"), lambda s, p: s + p["tok"]).alias("made_tokens"))
-    out = sized.join(made, "call_id", "left")
-    ratio = F.col("made_tokens") / F.col("original_tokens")
-    ok = F.coalesce((F.col("chunks_selected") > 0) & (F.col("signal") != "none") & (ratio <= 1 - MIN_SAVINGS), F.lit(False))
-    return out.select(
+        cut = F.transform(split_tokens(prefilter(F.col("raw_output")), window), lambda c, i: F.struct(i.alias("ord"), c.alias("content")))
+        sized = sized.withColumn("pieces", F.when(big, cut))
+    else:
+        given = chunks.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("given"))
+        sized = sized.join(given, "call_id", "left").withColumn("pieces", F.when(big, F.col("given"))).drop("given")
+    asked = F.when(F.size("pieces") > 0, hashed(F.col("task"), bucket))
+    scored = lambda c: F.struct(c["ord"].alias("ord"), count_tokens(c["content"]).cast("long").alias("tok"), c["content"].alias("content"), F.round(overlap(hashed(F.substring(c["content"], 1, HEAD), bucket), F.col("asked")), 9).alias("score"))
+    rows = sized.withColumn("asked", asked).withColumn("parts", F.transform(F.filter("pieces", lambda c: F.trim(c["content"]) != ""), scored))
+    ordered = F.array_sort(F.transform("parts", lambda p: F.struct((-p["score"]).alias("rank"), p["ord"].alias("ord"), p["tok"].alias("tok"))))
+    chosen = rows.withColumn("selected", greedy(ordered, F.lit(budget))["selected"]).withColumn("signal", F.when(F.size("parts") > 0, signal_of(F.transform("parts", lambda p: p["score"]))))
+    picked = chosen.withColumn("kept", F.filter("parts", lambda p: F.array_contains("selected", p["ord"])))
+    out = picked.withColumn("made_tokens", F.aggregate("kept", F.lit(0).cast("long"), lambda s, p: s + p["tok"]))
+    ratio = F.col("made_tokens") / F.nullif(F.col("original_tokens"), F.lit(0))
+    fine = F.coalesce((F.size("selected") > 0) & (F.col("signal") != "none") & (ratio <= 1 - MIN_SAVINGS), F.lit(False))
+    ok = F.col("ok")
+    return out.withColumn("ok", fine).select(
         "call_id",
         detect_format(F.col("raw_output")).alias("format"),
-        F.when(ok, F.col("made")).otherwise(F.col("raw_output")).alias("output"),
+        F.when(ok, F.array_join(F.transform("kept", lambda p: p["content"]), "\n")).otherwise(F.col("raw_output")).alias("output"),
         "original_tokens",
         F.when(ok, F.col("made_tokens")).otherwise(F.col("original_tokens")).alias("compressed_tokens"),
         F.round(F.when(ok, ratio).otherwise(1.0), 9).alias("ratio"),
-        F.when(ok, F.col("chunks_selected")).otherwise(F.lit(1)).cast("long").alias("chunks_selected"),
-        F.coalesce("chunks_total", F.lit(1)).cast("long").alias("chunks_total"),
+        F.when(ok, F.size("selected")).otherwise(F.lit(1)).cast("long").alias("chunks_selected"),
+        F.when(F.size("parts") > 0, F.size("parts")).otherwise(F.lit(1)).cast("long").alias("chunks_total"),
         F.coalesce("signal", F.lit("ok")).alias("signal"),
+        *keep,
     )
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.detect import detect_format, signal_quality
+from ..functions.detect import detect_format, signal_of
 from ..functions.text import count_tokens, language
 from ..operators.formats import lexical, segmented
 from ..operators.parsers import merge_json
@@ -27,14 +27,6 @@ def _merged(contents: pa.Array) -> pa.Array:
     return pa.array([None if c is None else merge_json(c) for c in contents.to_pylist()], pa.string())
 
 
-def _signal(scores: Column) -> Column:
-    n = F.size(scores)
-    some = F.nullif(n, F.lit(0))
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / some
-    spread = F.sqrt(F.aggregate(scores, F.lit(0.0), lambda a, s: a + (s - mean) * (s - mean)) / some)
-    return signal_quality(n, F.array_min(scores), F.array_max(scores), spread)
-
-
 def compress_calls(calls: DataFrame, guidelines: DataFrame | None = None, budget: int = BUDGET, min_tokens: int = MIN_TOKENS, score: Callable[[str, list[str]], list[float]] = lexical) -> DataFrame:
     """One row for each call: call_id, format, output, original_tokens, compressed_tokens, ratio, chunks_selected, chunks_total, signal, trace.
 
@@ -70,7 +62,7 @@ def compress_calls(calls: DataFrame, guidelines: DataFrame | None = None, budget
     weight = lambda c: F.coalesce(F.try_element_at("multipliers", c["chunk_type"]), F.lit(1.0))
     ordered = F.array_sort(F.transform("chunks", lambda c, i: F.struct((-c["score"] * weight(c)).alias("adj"), (-c["score"]).alias("raw"), i.alias("ord"), c["token_count"].alias("tok"), c["closure"].alias("closure"))))
     picked = cut.withColumn("selected", greedy(ordered, F.col("budget"), F.transform("chunks", lambda c: c["token_count"].cast("long")))["selected"])
-    picked = picked.withColumn("signal", F.when(F.size("chunks") > 0, _signal(F.transform("chunks", lambda c: c["score"]))))
+    picked = picked.withColumn("signal", F.when(F.size("chunks") > 0, signal_of(F.transform("chunks", lambda c: c["score"]))))
     kept = F.filter(F.transform("chunks", lambda c, i: F.struct(c["start_pos"].alias("start_pos"), i.alias("ord"), c["content"].alias("content"), c["whole"].alias("whole"))), lambda c: F.array_contains("selected", c["ord"]) & c["whole"])
     picked = picked.withColumn("parts", F.transform(F.array_sort(kept), lambda c: c["content"]))
     made = F.when(F.col("format") == "json", _merged(F.when(F.col("format") == "json", F.col("parts")))).otherwise(F.array_join("parts", "\n"))

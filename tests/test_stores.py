@@ -46,6 +46,18 @@ def test_needles(spark):
     assert rows(got) == [("a", True, True, "key=12"), ("b", True, False, ""), ("c", False, False, "")]
 
 
+def test_needles_in_long_lines(spark):
+    import time
+
+    long = "xk " * 70_000
+    outputs = spark.createDataFrame([("a", long, long), ("b", "", f"head\n{long}key=1 key=2 tail\nkey=3")], "task_id string, raw_output string, output string")
+    needles = spark.createDataFrame([("a", "key=[0-9]+"), ("b", "key=[0-9]+")], "task_id string, pattern string")
+    began = time.time()
+    got = stores.needle_hits(outputs, needles, "task_id").select("task_id", "in_raw", "survives", "evidence")
+    assert rows(got) == [("a", False, False, ""), ("b", False, True, f"{long}key=1 key=2 tail")]
+    assert time.time() - began < 20
+
+
 def test_closures_from_the_other_end(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "z"), (2, "a", "b")], "call int, src string, dst string")
     closure = select.closures(edges, "call")
