@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import detect_format, signal_of
 from ..functions.text import count_tokens, split_tokens
+from ..operators.formats import MIN_SAVINGS
 from ..operators.score import HEAD, crc_bucket, hashed, overlap
 from ..operators.segment import prefilter
 from ..operators.select import greedy
 
-MIN_TOKENS, MIN_SAVINGS = 1000, 0.3
+MIN_TOKENS = 1000
 
 
 def compress(calls: DataFrame, chunks: DataFrame | None = None, budget: int = 8000, window: int = 200, min_tokens: int = MIN_TOKENS, bucket=crc_bucket, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -4,29 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.detect import detect_format, signal_of
+from ..functions.detect import detect_format
 from ..functions.text import count_tokens, language
-from ..operators.formats import lexical, segmented
-from ..operators.parsers import merge_json
+from ..operators.formats import decided, lexical
 from ..operators.segment import prefilter
-from ..operators.select import greedy
-from .compress import MIN_SAVINGS, MIN_TOKENS
+from .compress import MIN_TOKENS
 
-BUDGET, PREVIEW, PREVIEWED = 8000, 300, 500
+BUDGET = 8000
 #: Guidelines of so many tools are broadcast (a map of the few chunk types for each); those of more are joined by exchange.
 MOST_TOOLS = 10_000
 
 
-@F.arrow_udf(StringType())
-def _merged(contents: pa.Array) -> pa.Array:
-    return pa.array([None if c is None else merge_json(c) for c in contents.to_pylist()], pa.string())
-
-
 def compress_calls(calls: DataFrame, guidelines: DataFrame | None = None, budget: int = BUDGET, min_tokens: int = MIN_TOKENS, score: Callable[[str, list[str]], list[float]] = lexical) -> DataFrame:
     """One row for each call: call_id, format, output, original_tokens, compressed_tokens, ratio, chunks_selected, chunks_total, signal, trace.
 
@@ -49,48 +40,30 @@ def compress_calls(calls: DataFrame, guidelines: DataFrame | None = None, budget
         language(F.coalesce(args, F.create_map().cast("map<string,string>"))).alias("language"), most.cast("int").alias("budget"),
         count_tokens(F.col("raw_output")).cast("long").alias("original_tokens"), detect_format(F.col("raw_output")).alias("format"),
     )
-    text = F.when(F.col("original_tokens") >= min_tokens, prefilter(F.col("raw_output")))
-    cut = own.withColumn("chunks", segmented(text, F.col("format"), F.col("language"), F.col("budget"), F.col("task"), score))
     if guidelines is None:
-        cut = cut.withColumn("multipliers", F.create_map().cast("map<string,double>"))
+        own = own.withColumn("multipliers", F.create_map().cast("map<string,double>"))
     else:
         pairs = F.map_from_entries(F.collect_list(F.struct("chunk_type", F.col("score_multiplier").cast("double"))))
         by_tool = guidelines.dropDuplicates(["tool_name", "chunk_type"]).groupBy(F.col("tool_name").alias("__tool")).agg(pairs.alias("multipliers"))
         if by_tool.limit(MOST_TOOLS + 1).count() <= MOST_TOOLS:
             by_tool = F.broadcast(by_tool)
-        cut = cut.join(by_tool, F.col("tool_name") == F.col("__tool"), "left").drop("__tool")
-    weight = lambda c: F.coalesce(F.try_element_at("multipliers", c["chunk_type"]), F.lit(1.0))
-    ordered = F.array_sort(F.transform("chunks", lambda c, i: F.struct((-c["score"] * weight(c)).alias("adj"), (-c["score"]).alias("raw"), i.alias("ord"), c["token_count"].alias("tok"), c["closure"].alias("closure"))))
-    picked = cut.withColumn("selected", greedy(ordered, F.col("budget"), F.transform("chunks", lambda c: c["token_count"].cast("long")))["selected"])
-    picked = picked.withColumn("signal", F.when(F.size("chunks") > 0, signal_of(F.transform("chunks", lambda c: c["score"]))))
-    kept = F.filter(F.transform("chunks", lambda c, i: F.struct(c["start_pos"].alias("start_pos"), i.alias("ord"), c["content"].alias("content"), c["whole"].alias("whole"))), lambda c: F.array_contains("selected", c["ord"]) & c["whole"])
-    picked = picked.withColumn("parts", F.transform(F.array_sort(kept), lambda c: c["content"]))
-    made = F.when(F.col("format") == "json", _merged(F.when(F.col("format") == "json", F.col("parts")))).otherwise(F.array_join("parts", "\n"))
-    picked = picked.withColumn("made", made).withColumn("made_tokens", count_tokens(F.col("made")).cast("long"))
-    ratio = F.col("made_tokens") / F.nullif(F.col("original_tokens"), F.lit(0))
-    fine = F.coalesce((F.size("parts") > 0) & (F.col("signal") != "none") & (ratio <= 1 - MIN_SAVINGS), F.lit(False))
-    done = picked.withColumn("ok", fine)
-    ids = lambda keep, name: F.transform(F.filter(F.transform("chunks", lambda c, i: F.struct(i.alias("ord"), c[name].alias("v"))), lambda c: keep(c["ord"])), lambda c: c["v"])
-    taken, left = (lambda o: ~F.col("ok") | F.array_contains("selected", o)), (lambda o: F.col("ok") & ~F.array_contains("selected", o))
-    each_id = F.transform("chunks", lambda c: c["id"])
-    once = F.filter(F.transform("chunks", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: (F.size("chunks") <= PREVIEWED) & (F.array_position(each_id, x["c"]["id"]) == x["i"] + 1))
-    each = lambda value: F.map_from_entries(F.transform(once, lambda x: F.struct(x["c"]["id"], value(x["c"]))))
-    trace = F.struct(
-        ids(taken, "id").alias("chunk_ids_selected"), ids(left, "id").alias("chunk_ids_pruned"), ids(taken, "chunk_type").alias("chunk_types_selected"), ids(left, "chunk_type").alias("chunk_types_pruned"),
-        each(lambda c: F.substring(c["content"], 1, PREVIEW)).alias("chunk_previews"), each(lambda c: c["token_count"]).alias("chunk_token_counts"), each(lambda c: F.round(c["score"], 4)).alias("chunk_scores"),
-        (F.col("signal") != "ok").alias("low_signal"),
-    )
-    n = F.coalesce(F.nullif(F.size("chunks"), F.lit(-1)), F.lit(0))
+        own = own.join(by_tool, F.col("tool_name") == F.col("__tool"), "left").drop("__tool")
+    text = F.when(F.col("original_tokens") >= min_tokens, prefilter(F.col("raw_output")))
+    done = own.withColumn("d", decided(text, F.col("format"), F.col("language"), F.col("budget"), F.col("task"), F.col("original_tokens"), F.col("multipliers"), score))
+    ok, n = F.coalesce("d.ok", F.lit(False)), F.coalesce("d.total", F.lit(0))
+    ratio = F.col("d.made_tokens") / F.nullif(F.col("original_tokens"), F.lit(0))
+    lists = [F.col(f"d.trace.{x}").alias(x) for x in ("chunk_ids_selected", "chunk_ids_pruned", "chunk_types_selected", "chunk_types_pruned", "chunk_previews", "chunk_token_counts")]
+    trace = F.struct(*lists, F.transform_values("d.trace.chunk_scores", lambda _, v: F.round(v, 4)).alias("chunk_scores"), (F.col("d.signal") != "ok").alias("low_signal"))
     return done.select(
         "call_id",
         "format",
-        F.when(F.col("ok"), F.col("made")).otherwise(F.col("raw_output")).alias("output"),
+        F.when(ok, F.col("d.made")).otherwise(F.col("raw_output")).alias("output"),
         "original_tokens",
-        F.when(F.col("ok"), F.col("made_tokens")).otherwise(F.col("original_tokens")).alias("compressed_tokens"),
-        F.round(F.when(F.col("ok"), ratio).otherwise(1.0), 9).alias("ratio"),
-        F.when(F.col("ok"), F.size("parts")).when(F.col("signal") == "none", n).otherwise(F.lit(1)).cast("long").alias("chunks_selected"),
+        F.when(ok, F.col("d.made_tokens")).otherwise(F.col("original_tokens")).alias("compressed_tokens"),
+        F.round(F.when(ok, ratio).otherwise(1.0), 9).alias("ratio"),
+        F.when(ok, F.col("d.parts")).when(F.col("d.signal") == "none", n).otherwise(F.lit(1)).cast("long").alias("chunks_selected"),
         F.greatest(n, F.lit(1)).cast("long").alias("chunks_total"),
-        F.coalesce("signal", F.lit("ok")).alias("signal"),
+        F.coalesce("d.signal", F.lit("ok")).alias("signal"),
         F.when(n > 0, trace).alias("trace"),
     )
 

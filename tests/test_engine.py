@@ -108,3 +108,25 @@ def test_levels_layout_words_and_shell_runs():
     assert [meaningful(c) for c in ("row", "col-6", "border", "span shadow-sm", "price", "row price", "", None)] == [False, False, False, False, True, True, False, False]
     mixed = "some words here\n$ ls -l\nfile one\nfile two\n$ pwd\n/root"
     assert "command" in [kind for _, kind, *_ in mixed_chunks(mixed)]
+
+
+def test_calls_of_many_chunks(spark):
+    import time
+
+    rows = [(c, json.dumps({"items": [{"key": 2000 * c + i, "part": i % 7, "state": {"flag": "alpha" if i == 5 else "N", "line": "O"}, "note": "a b c d e f g h"} for i in range(800)]}), "alpha") for c in range(400)]
+    began = time.time()
+    got = engine.compress_calls(spark.createDataFrame(rows, "call_id int, raw_output string, task string").repartition(4), budget=1500).collect()
+    assert time.time() - began < 20
+    assert all(r.chunks_total == 800 and r.compressed_tokens < 1500 * 1.2 and "alpha" in r.output and len(r.trace.chunk_ids_pruned) == 800 - r.chunks_selected for r in got) and len(got) == 400
+
+
+def test_counts_and_json_sizes():
+    import re
+
+    for t in ("", "a_1 b", " a", ".a", "é٠x \t\r\n\x0b-", "\ud800a", "𝒳y"):
+        assert parsers.count(t) == len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]", t))
+    # two paths that read the same: the later value stands at the earlier place
+    text = json.dumps({"fill": "w " * 400, "a.b": [1, 2], "a": {"b": "é", "c": float("nan")}} | {f"k{i}": i for i in range(400)})
+    made = [c for c, *_ in parsers.json_chunks(text)]
+    assert all(json.dumps(json.loads(c), ensure_ascii=False) == c for c in made)
+    assert all(parsers.count(c) >= parsers.JSON_FULL for c in made[2:-1]) and len(made) > 4
