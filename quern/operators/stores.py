@@ -66,7 +66,7 @@ def needles_in(rows: DataFrame) -> DataFrame:
     """
     found = lambda c: F.coalesce(F.regexp_like(c, F.col("pattern")), F.lit(False))
     line = F.regexp_substr(F.col("output"), F.concat(F.lit(r"(?<![^\n])[^\n]*(?:"), F.col("pattern"), F.lit(r")[^\n]*")))
-    return rows.withColumn("in_raw", found(F.col("raw_output"))).withColumn("survives", found(F.col("output"))).withColumn("evidence", F.coalesce(line, F.lit("")))
+    return rows.withColumn("in_raw", found(F.col("raw_output"))).withColumn("survives", found(F.col("output"))).withColumn("evidence", F.coalesce(F.when(found(F.col("output")), line), F.lit("")))
 
 
 def dependents(closure: DataFrame, key: str) -> DataFrame:
