@@ -58,9 +58,12 @@ def overlap(own: Column, asked: Column) -> Column:
     def squares(bag: Column) -> Column:
         return F.aggregate(bag, F.struct(F.lit(-1).alias("last"), none.alias("run"), none.alias("total")), met, lambda acc: acc["total"])
 
-    hits = F.aggregate(F.array_intersect(own, asked), none, lambda s, b: s + F.size(F.filter(own, lambda x: x == b)).cast("long") * F.size(F.filter(asked, lambda x: x == b)))
-    sizes = F.sqrt(squares(own).cast("double") * squares(asked))
-    return F.coalesce(F.when(hits > 0, hits / sizes), F.lit(0.0))
+    def cosine_of(own: Column) -> Column:
+        hits = F.aggregate(F.array_intersect(own, asked), none, lambda s, b: s + F.size(F.filter(own, lambda x: x == b)).cast("long") * F.size(F.filter(asked, lambda x: x == b)))
+        return F.coalesce(F.when(hits > 0, hits / F.sqrt(squares(own).cast("double") * squares(asked))), F.lit(0.0))
+
+    # own in an array of one, so that it is made once and not for each bucket that both have
+    return F.element_at(F.transform(F.array(own), cosine_of), 1)
 
 
 def _dense(buckets: list[list[int] | None]) -> np.ndarray:

@@ -8,31 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.detect import detect_format, signal_of
 from ..functions.text import count_tokens, split_tokens
 from ..operators.formats import MIN_SAVINGS
-from ..operators.score import HEAD, crc_bucket, hashed, overlap
-from ..operators.segment import prefilter
+from ..operators.score import crc_bucket, hashed, overlap
 from ..operators.select import greedy
 
 MIN_TOKENS = 1000
 
 
-def compress(calls: DataFrame, chunks: DataFrame | None = None, budget: int = 8000, window: int = 200, min_tokens: int = MIN_TOKENS, bucket=crc_bucket, keep: tuple[str, ...] = ()) -> DataFrame:
+def compress(calls: DataFrame, chunks: DataFrame | None = None, budget: int = 8000, window: int = 200, min_tokens: int = MIN_TOKENS, bucket=crc_bucket, keep: tuple[str, ...] = (), head: int | None = None) -> DataFrame:
     """One row for each call (call_id, raw_output, task): output, original_tokens, compressed_tokens, ratio, chunks_selected, chunks_total, signal, and the columns of calls named in ``keep``.
 
     Texts below ``min_tokens`` pass unchanged. Others are cut (into ``chunks`` (call_id, ord, content) if given, else
     into token windows), scored against the task, and chosen greedily by score, then order, under ``budget``. A call
     whose scores say nothing, of which nothing fits, or that saves less than 30 % passes unchanged as well. All that
-    a call needs is in its own row: without ``chunks`` nothing is exchanged; repeated calls stay repeated.
+    a call needs is in its own row: without ``chunks`` nothing is exchanged; repeated calls stay repeated. Texts are
+    cut and chunks are scored whole, however long; with ``head`` only so many characters of a chunk count for its score.
     """
     sized = calls.withColumn("original_tokens", count_tokens(F.col("raw_output")).cast("long"))
     big = F.col("original_tokens") >= min_tokens
     if chunks is None:
-        cut = F.transform(split_tokens(prefilter(F.col("raw_output")), window), lambda c, i: F.struct(i.alias("ord"), c.alias("content")))
+        cut = F.transform(split_tokens(F.col("raw_output"), window), lambda c, i: F.struct(i.alias("ord"), c.alias("content")))
         sized = sized.withColumn("pieces", F.when(big, cut))
     else:
         given = chunks.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("given"))
         sized = sized.join(given, "call_id", "left").withColumn("pieces", F.when(big, F.col("given"))).drop("given")
     asked = F.when(F.size("pieces") > 0, hashed(F.col("task"), bucket))
-    scored = lambda c: F.struct(c["ord"].alias("ord"), count_tokens(c["content"]).cast("long").alias("tok"), c["content"].alias("content"), F.round(overlap(hashed(F.substring(c["content"], 1, HEAD), bucket), F.col("asked")), 9).alias("score"))
+    told = lambda c: F.substring(c["content"], 1, head) if head else c["content"]
+    scored = lambda c: F.struct(c["ord"].alias("ord"), count_tokens(c["content"]).cast("long").alias("tok"), c["content"].alias("content"), F.round(overlap(hashed(told(c), bucket), F.col("asked")), 9).alias("score"))
     rows = sized.withColumn("asked", asked).withColumn("parts", F.transform(F.filter("pieces", lambda c: F.trim(c["content"]) != ""), scored))
     ordered = F.array_sort(F.transform("parts", lambda p: F.struct((-p["score"]).alias("rank"), p["ord"].alias("ord"), p["tok"].alias("tok"))))
     chosen = rows.withColumn("selected", greedy(ordered, F.lit(budget))["selected"]).withColumn("signal", F.when(F.size("parts") > 0, signal_of(F.transform("parts", lambda p: p["score"]))))
